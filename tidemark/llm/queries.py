@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.lines import document_lines
+from tidemark.llm.quality import document_quality
 from tidemark.llm.secrets import document_secrets
 from tidemark.llm.sharding import document_shards
 from tidemark.llm.vocabulary import vocabulary_path
@@ -21,6 +23,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_secrets(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_lines(_documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_quality(_documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(_documents(spark, sf_dir))
 
@@ -28,9 +38,25 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_lines": op2_lines,
+        "op8_quality": op8_quality,
         "op10_sharding": op10_sharding,
     }
 
 
+_STRIPPED = r"""translate(trim(line, e' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+_OP2 = rf"""WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), e'\n')) AS line, unnest(range(len(string_split(coalesce(text, ''), e'\n')))) AS pos FROM documents),
+k AS (SELECT *, {_STRIPPED} AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id < f.keeper AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, e'\n' ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_lines": _OP2,
+    }
