@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.lines import document_lines
 from tidemark.llm.quality import document_quality
+from tidemark.llm.records import document_records
 from tidemark.llm.secrets import document_secrets
 from tidemark.llm.sharding import document_shards
 from tidemark.llm.vocabulary import vocabulary_path
@@ -27,6 +28,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(_documents(spark, sf_dir))
 
 
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_records(_documents(spark, sf_dir), vocabulary_path())
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(_documents(spark, sf_dir))
 
@@ -39,6 +44,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
         "op2_lines": op2_lines,
+        "op6_records": op6_records,
         "op8_quality": op8_quality,
         "op10_sharding": op10_sharding,
     }
