@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.lines import document_lines
+from tidemark.llm.packing import pack
 from tidemark.llm.quality import document_quality
 from tidemark.llm.records import document_records
 from tidemark.llm.secrets import document_secrets
@@ -36,6 +37,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(_documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), vocabulary_path())
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_shards(_documents(spark, sf_dir))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op2_lines": op2_lines,
         "op6_records": op6_records,
         "op8_quality": op8_quality,
+        "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
     }
 
