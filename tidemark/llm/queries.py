@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.langid import document_languages
 from tidemark.llm.lines import document_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import document_quality
@@ -29,6 +30,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(_documents(spark, sf_dir))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(_documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_records(_documents(spark, sf_dir), vocabulary_path())
 
@@ -49,6 +54,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
         "op2_lines": op2_lines,
+        "op5_language": op5_language,
         "op6_records": op6_records,
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
