@@ -13,6 +13,7 @@ from tidemark.llm.quality import document_quality
 from tidemark.llm.records import document_records
 from tidemark.llm.secrets import document_secrets
 from tidemark.llm.sharding import document_shards
+from tidemark.llm.simhash import document_classes
 from tidemark.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(_documents(spark, sf_dir))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_classes(_documents(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_languages(_documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
         "op2_lines": op2_lines,
+        "op3_simhash": op3_simhash,
         "op5_language": op5_language,
         "op6_records": op6_records,
         "op8_quality": op8_quality,
