@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontam import find_leaks
 from tidemark.llm.langid import document_languages
 from tidemark.llm.lines import document_lines
 from tidemark.llm.packing import pack
@@ -43,6 +44,10 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_records(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(_documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op3_simhash": op3_simhash,
         "op5_language": op5_language,
         "op6_records": op6_records,
+        "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
