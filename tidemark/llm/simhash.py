@@ -36,7 +36,7 @@ from tidemark.runtime import materialize, ship
 BITS, SEED = 64, 42
 BUDGET = 4
 BLOCKS = 6  # 15 subtries of about 21 bits per fingerprint
-LEAF = 32  # node pairs of at most this many members are compared outright
+LEAF = 256  # node pairs of at most this many members are compared outright
 CHUNK = 1 << 16
 
 
@@ -114,6 +114,8 @@ def trie_links(values: np.ndarray, budget: int, depth: int = 0) -> list[tuple[in
         same = a == c
         if (b - a) * (d - c) <= LEAF * LEAF:
             near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= budget
+            if np.count_nonzero(near) > 4 * (b - a + d - c) and links.one_set(((a, b), (c, d))):
+                continue
             for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
                 if not same or i < j:
                     links.link(a + i, c + j)
@@ -218,20 +220,70 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, blocks: int = B
     return ordered.mapInArrow(join, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, width: int = 4, budget: int = BUDGET, blocks: int = BLOCKS, doc_id: str = "doc_id", text: str = "text", result: str = "component_id") -> DataFrame:
-    """``df`` without its text, with ``fp`` (long) and the smallest id of the row's class."""
-    marked = materialize(fingerprints(df.drop(result), width, text), "fingerprints")
+def _jaccard(a: bytes, b: bytes) -> float:
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def verified_links(links: DataFrame, marked: DataFrame, docs: DataFrame, keys: list[str], width: int, text: str, least: float) -> DataFrame:
+    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard).
+
+    Each fingerprint is represented by one of its rows (the smallest ``keys``), found through ``marked``. Shingle sets
+    are made for linked fingerprints only, and travel with the links: linear in the links, no group is built.
+    """
+    ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
+    chosen = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).select("fp", "k.*")
+    on = [docs[k].eqNullSafe(chosen[k]) for k in keys]
+    texts = docs.join(chosen, on).select(chosen["fp"], docs[text].alias("text")).dropDuplicates(["fp"])
+
+    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [_jaccard(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    sets = materialize(texts.mapInArrow(shingle_sets, "fp long, shingles binary"), "shingle-sets")
+    left = links.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    return both.mapInArrow(compare, "u long, v long")
+
+
+def near_duplicates(df: DataFrame, width: int = 4, budget: int = BUDGET, blocks: int = BLOCKS, min_jaccard: float | None = None, doc_id: str = "doc_id", text: str = "text", result: str = "component_id") -> DataFrame:
+    """``df`` without its text, with ``fp`` (long), ``body`` (a hash of the text), ``class`` (the smallest fingerprint of
+    the row's class) and ``component_id`` (the smallest id of the row's class).
+
+    With ``min_jaccard``, links between different fingerprints count only if the texts are that similar.
+    """
+    source = df.drop("fp", "body", "class", result).withColumn("body", F.xxhash64(F.col(text)))
+    marked = materialize(fingerprints(source, width, text), "fingerprints")
     # Copies collapse here; the partial minimum keeps a fingerprint that a third of all rows share cheap.
     distinct = materialize(marked.groupBy("fp").agg(F.min(F.col(doc_id).cast("long")).alias("first_id")), "distinct-fingerprints")
     links = fingerprint_links(distinct, budget, blocks).distinct()
+    if min_jaccard is not None:
+        links = verified_links(materialize(links, "fingerprint-links"), marked, source, [doc_id, "body"], width, text, min_jaccard)
     classes = connected_components(links)
     member = distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
     member = materialize(member, "fingerprint-classes")
     names = member.groupBy("class").agg(F.min("first_id").alias(result))
-    named = member.join(names, "class").select(F.col("fp").alias("__fp"), result)
+    named = member.join(names, "class").select(F.col("fp").alias("__fp"), "class", result)
     return marked.join(named, marked["fp"] == named["__fp"]).drop("__fp")
 
 
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``df`` with one row of each class: that of the smallest id (rows with an id go first), then text hash."""
+    found = near_duplicates(df.select(doc_id, text), doc_id=doc_id, text=text, **options)
+    first = found.groupBy("class").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "body")).alias("k"))
+    stay = first.select(F.col("k.id").alias("__id"), F.col("k.body").alias("__body"))
+    marked = df.withColumn("__b", F.xxhash64(F.col(text)))
+    joined = marked.join(stay, marked[doc_id].eqNullSafe(stay["__id"]) & (marked["__b"] == stay["__body"]), "left_semi")
+    return joined.dropDuplicates([doc_id, "__b"]).drop("__b")
+
+
 def document_classes(docs: DataFrame) -> DataFrame:
     """Contract rows."""
     found = near_duplicates(docs.select("doc_id", "text"))
