@@ -15,6 +15,7 @@ from tidemark.llm.records import document_records
 from tidemark.llm.secrets import document_secrets
 from tidemark.llm.sharding import document_shards
 from tidemark.llm.simhash import document_classes
+from tidemark.llm.substrings import document_passages
 from tidemark.llm.vocabulary import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_classes(_documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_passages(_documents(spark, sf_dir))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_languages(_documents(spark, sf_dir), vocabulary_path("piece_bpe_32k.model"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op1_secrets": op1_secrets,
         "op2_lines": op2_lines,
         "op3_simhash": op3_simhash,
+        "op4_substrings": op4_substrings,
         "op5_language": op5_language,
         "op6_records": op6_records,
         "op7_decontamination": op7_decontamination,
