@@ -137,9 +137,12 @@ class Items:
         """(document, item, begin, end, edits): verified matches. ``flat`` holds all documents, each followed by
         ``longest`` pads; ``bounds`` are their begins."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        ends = np.append(bounds[1:], len(flat)) - self.longest
         for length, starts in self.windows(flat).items():
             owner = np.searchsorted(bounds, np.maximum(starts, 0), side="right") - 1
             starts = np.maximum(starts, bounds[owner])
+            inside = starts < ends[owner]
+            starts, owner = starts[inside], owner[inside]
             pairs: set[tuple[int, int]] = set()
             for walk in range(WALKS):
                 written = self.embed(flat, np.minimum(starts, len(flat) - length), length, walk)
@@ -155,7 +158,7 @@ class Items:
                 if start <= done.get((doc, i), -1):  # the stretch that was compared holds this window too
                     continue
                 low = max(int(bounds[doc]), start - k)
-                high = min(start + length + 3 * k, len(flat))
+                high = min(start + length + 3 * k, int(ends[doc]))
                 done[doc, i] = start + k
                 edits, begin, end = closest(self.ids[i], flat[low:high])
                 if edits <= k:
