@@ -1,0 +1,65 @@
+import hashlib
+import random
+import re
+
+import pytest
+from helpers import docs, messy
+
+from tidemark.llm.secrets import default_model, document_secrets, find_secrets, identifiers, random_strings, scan, vocabulary_words
+from tidemark.llm.vocabulary import vocabulary_path
+
+
+@pytest.fixture(scope="module")
+def model():
+    return default_model(vocabulary_path(), samples=4000)
+
+
+def plain(text):
+    """Base spans, by the letter of the rules."""
+    keyword = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    found = [("assign", m.start(), m.end()) for m in re.finditer(rf"({keyword})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    order = ["assign", "access", "hex"]
+    return sorted(found, key=lambda x: (x[1], order.index(x[0])))
+
+
+def test_base_spans_by_brute_force(model):
+    rng = random.Random(5)
+    parts = ["token", "Secret", "API_KEY", "apikey", "passwd", "=", ":", " ", '"', "'", "abc", "abcdef1", "AKIA", "ABCDEFGHIJ0123456", "0123456789abcdef", "ſecret", "toKen", "\n", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 14)))
+        got = [s[:3] for s in scan(text, model) if s[0] != "markov"]
+        assert got == plain(text), text
+
+
+def test_failing_match_uses_up_its_text(model):
+    assert [s[:3] for s in scan("token=token:abcdefgh", model) if s[0] == "assign"] == []
+
+
+def test_model_tells_random_from_names(model):
+    words = vocabulary_words(vocabulary_path())
+    noise = [s for s in random_strings(random.Random(99), 500) if len(s) >= 24]
+    names = [s for s in identifiers(random.Random(98), words, 2000) if len(s) >= 16]
+    assert sum(model.score(s) > model.threshold for s in noise) >= 0.97 * len(noise)
+    assert sum(model.score(s) > model.threshold for s in names) <= 0.005 * len(names)
+
+
+def test_added_span(model):
+    text = "deploy with xK9fQ2vLr7TbZ1mWq8Yc3NdA now"
+    assert [s[0] for s in scan(text, model)] == ["markov"]
+    assert scan("the internationalisation_of_identifiers is fine", model) == []
+
+
+def test_contract_rows(spark):
+    text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x'
+    row = document_secrets(docs(spark, [(7, text), (8, None)]), vocabulary_path()).orderBy("doc_id").collect()
+    spans = ",".join(f"{k}:{a}:{b}" for k, a, b in plain(text))
+    assert (row[0]["n_assign"], row[0]["n_access"], row[0]["n_hex"]) == (1, 0, 1)
+    assert row[0]["spans"] == spans and row[0]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+    assert row[1]["spans"] == "" and row[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_messy(spark, model):
+    assert find_secrets(messy(spark).selectExpr("*", "1 AS spans"), model).count() == 9
+    assert find_secrets(docs(spark, []), model).count() == 0
