@@ -83,5 +83,5 @@ def closing_bids(events: DataFrame, n_partitions: int, ahead_ms: int = 10) -> Da
     t = F.col("t") + ahead_ms
     bid = F.struct(F.lit(0).cast("long").alias("auction"), F.lit(0).cast("long").alias("bidder"), F.lit(0).cast("long").alias("price"), t.alias("dateTime"), F.lit("").alias("extra"))
     missing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name in ("auction", "person")}
-    rows = newest.withColumn("partition", F.explode(F.sequence(F.lit(0), F.lit(n_partitions - 1))).cast("long"))
+    rows = newest.withColumn("partition", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_partitions - 1).cast("long"))))
     return rows.select(F.lit("Bid").alias("event_type"), t.alias("t"), "partition", F.lit(1 << 62).alias("offset"), t.alias("append_ts"), bid.alias("bid"), *missing.values())
