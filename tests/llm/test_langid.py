@@ -4,7 +4,7 @@ import numpy as np
 from helpers import docs, messy
 from pyspark.sql import functions as F
 
-from tidemark.llm.langid import PART, Lattice, document_languages, identify, train, words_of
+from tidemark.llm.langid import PART, Lattice, document_languages, identify, marked, train, words_of
 from tidemark.llm.vocabulary import vocabulary_path
 
 SAMPLES = {
@@ -27,7 +27,8 @@ def brute(word, table, index, unknown):
 
 
 def test_forward_and_expected_by_enumeration():
-    lattice = Lattice(["a", "b", "ab", "ba", "aba", "c"])
+    pieces = ["a", "b", "ab", "ba", "aba", "c"]
+    lattice, index = Lattice(pieces), {p: i for i, p in enumerate(pieces)}
     rng = np.random.default_rng(1)
     table = rng.random((8, 2)) / 4
     table[-1] = 0
@@ -35,7 +36,7 @@ def test_forward_and_expected_by_enumeration():
     got = lattice.forward(words, table)
     for w, row in zip(words, got, strict=True):
         for k in range(2):
-            assert abs(row[k] - brute(w, table[:, k], lattice.index, lattice.unknown)) < 1e-12
+            assert abs(row[k] - brute(w, table[:, k], index, lattice.unknown)) < 1e-12
     language, weight = np.asarray([0, 1, 0, 1]), np.asarray([1.0, 2.0, 3.0, 4.0])
     keys, uses = lattice.expected(words, language, weight, table)
     sums = np.bincount(keys, weights=uses, minlength=16)
@@ -47,10 +48,19 @@ def test_forward_and_expected_by_enumeration():
         assert abs(change / np.log1p(1e-6) - sums[key]) < 1e-4
 
 
+def test_crowded_slots_are_found():
+    pieces = sorted({f"{i:x}" for i in range(30_000)})
+    lattice = Lattice(pieces)
+    lattice.SLOT_BITS = 20
+    for word in ("7abc", "1f2e", "00ff"):
+        found = {(i, j): pieces[int(ids[0])] for i, j, rows, ids in lattice.spans([word]) if len(rows)}
+        assert found == {(i, j): word[i:j] for i in range(4) for j in range(i + 1, 5) if word[i:j] in set(pieces)}
+
+
 def test_words():
-    assert words_of("Ab  cD") == ["▁ab", "▁cd"]
-    parts = words_of("x" * 60)
-    assert all(len(p) <= PART + 1 for p in parts) and "".join(parts)[1:] == "x" * 60
+    assert [marked(w) for w in words_of("Ab,  cD")] == ["▁ab", "▁cd"]
+    parts = [marked(w) for w in words_of("x" * 60 + " a\0b")]
+    assert all(len(p) <= PART + 1 for p in parts) and "".join(parts) == "▁" + "x" * 60 + "▁ab"
 
 
 def _rows(spark):

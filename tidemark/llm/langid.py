@@ -6,7 +6,7 @@ give the expected uses of each piece. A text's likelihood is the product over it
 sum, so no single segmentation is chosen. The prediction is the language of the highest posterior
 (with the training share as prior); the score is that posterior.
 
-Words are white-space separated and lower-cased, with the vocabulary's word mark in front. Words longer
+Words are separated by white space and common punctuation and lower-cased, with the vocabulary's word mark in front. Words longer
 than ``PART`` characters are cut every ``PART``, so that a text of any length costs a bounded sum per character;
 characters outside the vocabulary are single unknown pieces.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,9 +36,12 @@ from tidemark.runtime import materialize, ship
 
 MARK = "▁"
 PART = 24
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
+PUNCTUATION = ".,!?;:\"|()"
 UND = "und"
-_MEMO: dict[str, tuple[dict[str, int], np.ndarray, int]] = {}
+PIECE_CHARS = 1 << 20
+_LATTICE: dict = {}
+_MEMO: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -51,58 +54,108 @@ def vocabulary_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Marked words, the long ones in parts."""
-    out = text.lower().split()
-    if any(len(w) > PART for w in out):
-        return [w[i : i + PART] if i else MARK + w[:PART] for w in out for i in range(0, len(w), PART)]
-    return [MARK + w for w in out]
+    """Words, the long ones in parts. Common punctuation is no part of a word. A part that continues a word begins
+    with a null character; all others are to be read with the word mark in front (``marked``)."""
+    text = text.lower()
+    for c in PUNCTUATION:
+        if c in text:
+            text = text.replace(c, " ")
+    out = text.split()
+    if max(map(len, out), default=0) > PART or "\0" in text:
+        out = [w.replace("\0", "") for w in out]
+        return ["\0" * (i > 0) + w[i : i + PART] for w in out for i in range(0, len(w), PART)]
+    return out
+
+
+def marked(word: str) -> str:
+    return word[1:] if word[0] == "\0" else MARK + word
 
 
 class Lattice:
     """Forward and backward sums over the segmentations of many words of one length at a time.
 
-    Row ``V`` of a probability table is the unknown character, row ``V + 1`` (always 0) is no piece.
+    Row ``V`` of a probability table is the unknown character. Pieces are found by 64-bit hashes of all
+    substrings at once: a polynomial over code points, looked up in two open tables.
     """
 
+    BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+    SLOT_BITS = 20
+
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PART + 2, self.BASE)]), dtype=np.uint64)
+        self.hashes = np.zeros(len(pieces) + 2, dtype=np.uint64)
+        for i, p in enumerate(pieces):
+            self.hashes[i] = self._prefixes(self._codes([p]))[0, -1]
+        self.tables = [np.full(1 << self.SLOT_BITS, self.none, dtype=np.int32) for _ in self.SPREAD]
+        rest = np.arange(len(pieces), dtype=np.int32)
+        for table, spread in zip(self.tables, self.SPREAD, strict=True):
+            slots = (self.hashes[rest] * spread) >> np.uint64(64 - self.SLOT_BITS)
+            table[slots] = rest
+            rest = rest[table[slots] != rest]  # these lost their slot: next table
+        self.crowded = {int(self.hashes[i]): int(i) for i in rest}
+
+    @staticmethod
+    def _codes(words: list[str]) -> np.ndarray:
+        return np.asarray(words, dtype=f"<U{len(words[0])}").view(np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+    def _prefixes(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), codes.shape[1] + 1), dtype=np.uint64)
+        mixed = (codes + np.uint64(1)) * self.SPREAD[1]
+        mixed ^= mixed >> np.uint64(31)
+        for k in range(codes.shape[1]):
+            out[:, k + 1] = out[:, k] * self.BASE + mixed[:, k]
+        return out
 
-    def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """Piece numbers at each (begin, end) that any of the words has a piece at. All words have one length."""
-        n, get, none = len(words[0]), self.index.get, self.none
-        out = {}
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                ids = np.fromiter((get(w[i:j], none) for w in words), dtype=np.int32, count=len(words))
+    def spans(self, words: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows, pieces): which of the words have which piece at a place. All words have one length; every
+        word has a piece, or the unknown one, at each single character."""
+        n, prefixes, out = len(words[0]), self._prefixes(self._codes(words)).T.copy(), []
+        shift = np.uint64(64 - self.SLOT_BITS)
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                h = prefixes[j] - prefixes[i] * self.powers[j - i]
+                ids = self.tables[0][(h * self.SPREAD[0]) >> shift]
+                ids[self.hashes[ids] != h] = self.none
+                second = self.tables[1][(h * self.SPREAD[1]) >> shift]
+                at = np.flatnonzero(self.hashes[second] == h)
+                if len(at):
+                    ids[at] = np.where(second[at] != self.none, second[at], ids[at])
+                for known, piece in self.crowded.items():
+                    ids[h == np.uint64(known)] = piece
                 if j == i + 1:
-                    ids[ids == none] = self.unknown
-                if j == i + 1 or (ids != none).any():
-                    out[i, j] = ids
+                    ids[ids == self.none] = self.unknown
+                    out.append((i, j, np.arange(len(words)), ids))
+                    continue
+                rows = np.flatnonzero(ids != self.none)
+                if len(rows):
+                    out.append((i, j, rows, ids[rows]))
         return out
 
     def forward(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """Sums for every language: rows of words, columns of ``table``."""
-        n, alpha = len(words[0]), [np.ones((len(words), table.shape[1]))]
-        spans = self.spans(words)
-        for j in range(1, n + 1):
-            alpha.append(sum(alpha[i] * table[spans[i, j]] for i in range(j) if (i, j) in spans))
-        return alpha[n]
+        alpha = [np.ones((len(words), table.shape[1]))] + [np.zeros((len(words), table.shape[1])) for _ in words[0]]
+        for i, j, rows, ids in self.spans(words):  # by rising end: alpha[i] is complete
+            alpha[j][rows] += alpha[i][rows] * table[ids]
+        return alpha[-1]
 
     def expected(self, words: list[str], language: np.ndarray, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat piece * languages + language, expected uses) of words that each belong to one language."""
         n, spans, width = len(words[0]), self.spans(words), table.shape[1]
-        p = {k: table[ids, language] for k, ids in spans.items()}
-        alpha, beta = [np.ones(len(words))], {n: np.ones(len(words))}
-        for j in range(1, n + 1):
-            alpha.append(sum(alpha[i] * p[i, j] for i in range(j) if (i, j) in p))
-        for i in range(n - 1, -1, -1):
-            beta[i] = sum(p[i, j] * beta[j] for j in range(i + 1, n + 1) if (i, j) in p)
-        scale = weight / alpha[n]
-        keys = np.concatenate([ids.astype(np.int64) * width + language for ids in spans.values()])
-        uses = np.concatenate([alpha[i] * p[i, j] * beta[j] * scale for i, j in spans])
-        return keys, uses
+        flat = table.reshape(-1)
+        keys = [ids.astype(np.int64) * width + language[rows] for _, _, rows, ids in spans]
+        p = [flat[k] for k in keys]
+        alpha = [np.ones(len(words))] + [np.zeros(len(words)) for _ in range(n)]
+        for (i, j, rows, _), q in zip(spans, p, strict=True):
+            alpha[j][rows] += alpha[i][rows] * q
+        beta = [np.zeros(len(words)) for _ in range(n)] + [weight / alpha[n]]
+        uses = []
+        for (i, j, rows, _), q in zip(reversed(spans), reversed(p), strict=True):  # by falling end: beta[j] is complete
+            through = q * beta[j][rows]
+            beta[i][rows] += through
+            uses.append(alpha[i][rows] * through)
+        return np.concatenate(keys), np.concatenate(uses[::-1])
 
 
 @dataclass(frozen=True)
@@ -113,41 +166,60 @@ class LanguageModel:
     log_prior: np.ndarray
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
         if self.key not in _MEMO:
             _MEMO.clear()  # one model at a time
-            _MEMO[self.key] = ({}, np.zeros((1024, len(self.languages))), 0)
-        lattice, out = None, []
-        for at in range(0, len(texts), 256):
-            split = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts[at : at + 256]]
-            known, scores, used = _MEMO[self.key]
-            new = {w for ws in split for w in ws}.difference(known)
-            if new:
-                lattice = lattice or Lattice(self.pieces)
-                if used + len(new) > MEMO_WORDS:
-                    known, used = {}, 0
-                    new = {w for ws in split for w in ws}
-                if used + len(new) > len(scores):
-                    scores = np.concatenate([scores, np.zeros((max(len(scores), len(new)), scores.shape[1]))])
-                for part in by_length(new):
-                    scores[used : used + len(part)] = np.log(np.maximum(lattice.forward(part, self.table), 1e-300))
-                    known.update(zip(part, range(used, used + len(part)), strict=True))
-                    used += len(part)
-                _MEMO[self.key] = (known, scores, used)
-            for words in split:
-                if not words or not self.languages:
-                    out.append((UND, 0.0))
-                    continue
-                total = scores[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0) + self.log_prior
-                best = int(total.argmax())
-                out.append((self.languages[best], float(1 / np.exp(total - total[best]).sum())))
-        return out
-
-
-def by_length(words, most: int = 20_000) -> Iterator[list[str]]:
+            _MEMO[self.key] = ({}, np.zeros((1024, len(self.languages)), dtype=np.float32))
+        piece: list[str | None] = []
+        size = 0
+        for text in texts:
+            piece.append(text)
+            size += len(text or "")
+            if size > PIECE_CHARS:
+                yield from self._predict(piece)
+                piece, size = [], 0
+        yield from self._predict(piece)
+
+    def _predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        split = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
+        known, scores = _MEMO[self.key]
+        used = len(known)
+        seen: set[str] = set()
+        for words in split:
+            seen.update(words)
+        if new := seen.difference(known):
+            if used + len(new) > len(scores):
+                scores = np.concatenate([scores, np.zeros((max(len(scores), len(new)), scores.shape[1]), dtype=np.float32)])
+            lattice, at = _lattice(self.pieces), used
+            for part in by_length(new):
+                scores[at : at + len(part)] = np.log(np.maximum(lattice.forward([marked(w) for w in part], self.table), 1e-300))
+                known.update(zip(part, range(at, at + len(part)), strict=True))
+                at += len(part)
+            _MEMO[self.key] = (known, scores)
+        for words in split:
+            if not words or not self.languages:
+                yield UND, 0.0
+                continue
+            total = scores[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64) + self.log_prior
+            best = int(total.argmax())
+            yield self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        if len(known) > MEMO_WORDS:  # what came last goes: the early words are the frequent ones
+            for _ in range(len(known) - min(used, MEMO_WORDS)):
+                known.popitem()
+
+
+def _lattice(pieces: list[str]) -> Lattice:
+    """The worker's lattice; one is kept, since the pieces are the same for all models of a vocabulary."""
+    if _LATTICE.get("size") != len(pieces) or _LATTICE.get("last") != pieces[-1:]:
+        _LATTICE.update(size=len(pieces), last=pieces[-1:], lattice=Lattice(pieces))
+    return _LATTICE["lattice"]
+
+
+def by_length(words: Iterable[str], most: int = 4_000) -> Iterator[list[str]]:
+    """Words of equal length once marked, some at a time."""
     groups: dict[int, list[str]] = defaultdict(list)
     for w in words:
-        groups[len(w)].append(w)
+        groups[len(w) - 2 * (w[0] == "\0")].append(w)
     for group in groups.values():
         for at in range(0, len(group), most):
             yield group[at : at + most]
@@ -183,15 +255,17 @@ def train(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang"
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
-            lattice, sums = Lattice(pieces), np.zeros(table.size)
+            lattice, sums = _lattice(pieces), np.zeros(table.size)
             for batch in batches:
                 rows: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
                 for language, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    word = marked(word)
                     rows[len(word)].append((word, number[language], n))
                 for group in rows.values():
-                    words, which, weight = zip(*group, strict=True)
-                    keys, uses = lattice.expected(list(words), np.asarray(which), np.asarray(weight, dtype=float), table)
-                    sums += np.bincount(keys, weights=uses, minlength=table.size)
+                    for at in range(0, len(group), 4_000):
+                        words, which, weight = zip(*group[at : at + 4_000], strict=True)
+                        keys, uses = lattice.expected(list(words), np.asarray(which), np.asarray(weight, dtype=float), table)
+                        np.add.at(sums, keys, uses)
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.float64())], ["key", "uses"])
 
@@ -212,7 +286,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
+            found = list(model.predict(t.as_py() for t in batch.column(batch.schema.get_field_index(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names, lang_pred, score])
 
     return kept.mapInArrow(run, schema)
