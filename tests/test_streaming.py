@@ -87,3 +87,16 @@ def test_partition_count_of_the_fixture(spark):
     from tidemark.sources.events import read_events
 
     assert bids(read_events(spark, "/root/testdata/sf0.001")).select("partition").distinct().count() == N_PARTITIONS
+
+
+def test_observed_metrics(spark, tmp_path):
+    from tidemark.streaming.metrics import NAME, observed, throughput
+
+    session, source = stream_session(spark), Log(spark, f"{tmp_path}/in")
+    source.write([(0, 5), (0, 25_000)])
+    stream = observed(source.streams(session, 1)[0], L)
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = [p.observedMetrics[NAME].asDict() for p in query.recentProgress if NAME in p.observedMetrics]
+    assert {"rows": 2, "oldest": 5, "newest": 25_000, "windows": 3} in found
+    assert len(throughput(query)) >= 1
