@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import memo
+from tidemark.llm.tokens import memo, slices
 from tidemark.runtime import materialize, ship
 
 WINDOW = 2048
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, full = memo(vocabulary), Counter(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [i + end for i in words.encode([t or "" for t in batch.column(2).to_pylist()])]
             lengths = [len(i) // 2 for i in ids]
             ranks, before = [], []
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
         starts = F.broadcast(starts)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, n, rest, nth, full_before, ids, first, full_first in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 wide = np.frombuffer(ids, dtype="<u2").astype("<u4")

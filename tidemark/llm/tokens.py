@@ -6,16 +6,19 @@ has no white space on either side. So a text falls into words there, and the ids
 of its words, joined. A worker encodes each new word once, many at a time, with the ``tokenizers`` library
 and looks the others up. A text in which white space meets white space is encoded as a whole.
 
-The memo is bounded (``MEMO_WORDS``) and is emptied when full: results never depend on it.
+The memo is bounded (``MEMO_WORDS``): once full, new words are forgotten again. Results never depend on it.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
 MEMO_WORDS = 1_000_000
+PIECE_CHARS = 1 << 20
 _MEMOS: dict[str, Memo] = {}
 #: The simple cuts do not hold where white space meets white space or a text's end, nor for other white
 #: space than the space and the line break. Each of these is a plain substring search.
@@ -28,6 +31,14 @@ def _regular(text: str) -> bool:
 
 
 
+def _visible_bytes() -> dict[int, int]:
+    """Byte-level vocabularies spell each byte as one printable character: printable Latin-1 ones as they are, the
+    others in order from code point 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
 class Memo:
     """Encodes texts to little-endian bytes of unsigned 16-bit ids (vocabularies up to 65,536)."""
 
@@ -37,65 +48,73 @@ class Memo:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("16-bit ids need a vocabulary of at most 65,536 entries")
-        self.words: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.whole("\n")
         self.newline_id = int.from_bytes(self.newline, "little")
+        self.words: dict[str, bytes] = {"": b"", "\n": self.newline}
+        self.visible = _visible_bytes()
+        self.marks = {m: self.whole(m) for m in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Encode the words many at a time, kept apart by line breaks, and cut the ids at those."""
-        if len(self.words) + len(words) > MEMO_WORDS:
-            self.words.clear()
-        self.words |= {"": b"", "\n": self.newline}
-        words = [w for w in words if w not in self.words]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        """Encode new words many at a time, kept apart by line breaks, and cut the ids at those.
+
+        A full stop or comma after a letter or digit is a piece of its own, so "word." needs only "word".
+        """
+        known = self.words
+        ended = [w for w in words if w[-1:] in (".", ",") and w[-2:-1].isalnum()]
+        fresh = [w for w in words if not (w[-1:] in (".", ",") and w[-2:-1].isalnum())]
+        fresh += [w for w in {w[:-1] for w in ended}.difference(fresh) if w not in known]
+        # A word of letters alone is one piece: it goes to the merges directly, past the splitting pattern.
+        tokenize, visible = self.tokenizer.model.tokenize, self.visible
+        letters = [w for w in fresh if w.isalpha() or (w[0] == " " and w[1:].isalpha())]
+        for w in letters:
+            known[w] = b"".join([t.id.to_bytes(2, "little") for t in tokenize(w.encode().decode("latin-1").translate(visible))])
+        fresh = [w for w in fresh if w not in known]
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
             ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
             ends = [*np.flatnonzero(ids == self.newline_id).tolist(), len(ids)]
             raw, begin = ids.tobytes(), 0
             for word, end in zip(part, ends, strict=True):
-                self.words[word] = raw[2 * begin : 2 * end]
+                known[word] = raw[2 * begin : 2 * end]
                 begin = end + 1
+        for w in ended:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        # Long batches are taken in pieces, so that the lists of words stay small.
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, in order. Texts are taken some at a time, so that lists of words stay small."""
         piece: list[str] = []
         size = 0
         for text in texts:
             piece.append(text)
             size += len(text)
-            if size > 4_000_000:
-                out += self._encode(piece)
+            if size > PIECE_CHARS:
+                yield from self._encode(piece)
                 piece, size = [], 0
-        return out + self._encode(piece)
+        yield from self._encode(piece)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        lines: list[list[str] | None] = []
+        split: list[list[str] | None] = []
         seen: set[str] = set()
         for text in texts:
             if not text or not _regular(text) or any(s in text for s in self.special):
-                lines.append(None)
+                split.append(None)
                 continue
             # A leading space belongs to its word; the line break is a piece of its own.
             words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            lines.append(words)
+            split.append(words)
             seen.update(words)
-        if new := [w for w in seen if w not in self.words]:
-            self._learn(new)
+        before = len(self.words)
+        if new := seen.difference(self.words):
+            self._learn(list(new))
         get = self.words.__getitem__
-        out = []
-        for text, words in zip(texts, lines, strict=True):
-            if words is None:
-                out.append(self.whole(text) if text else b"")
-                continue
-            try:
-                out.append(b"".join(map(get, words)))
-            except KeyError:  # the memo was emptied within this batch
-                out.append(self.whole(text))
+        out = [(self.whole(t) if t else b"") if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        if len(self.words) > MEMO_WORDS:  # what came last goes: the early words are the frequent ones
+            for word in list(islice(reversed(self.words), len(self.words) - min(before, MEMO_WORDS))):
+                del self.words[word]
         return out
 
 
@@ -107,3 +126,10 @@ def memo(path: str) -> Memo:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _MEMOS[path] = Memo(path)
     return _MEMOS[path]
+
+
+def slices(batches: Iterable, rows: int = 512) -> Iterator:
+    """Arrow batches in short stretches: what Python holds of a batch at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
