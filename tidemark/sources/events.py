@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 N_PARTITIONS = 4
 BID_TYPES = ("click", "view", "purchase")
+AUCTION_TYPE = "signup"
+SOURCE_TYPE = "source_type"  # the stored type as it is, so that type filters reach the Parquet scan
 RAW = T.StructType(
     [
         T.StructField("event_id", T.LongType()),
@@ -32,14 +34,15 @@ def as_events(raw: DataFrame, n_partitions: int = N_PARTITIONS) -> DataFrame:
     price = F.round(F.col("value") * 100).cast("long")
     user, none = F.col("user_id"), F.lit(None)
     return raw.select(
-        F.when(kind.isin(*BID_TYPES), "Bid").when(kind == "signup", "Auction").when(kind == "error", "Person").alias("event_type"),
+        F.when(kind.isin(*BID_TYPES), "Bid").when(kind == AUCTION_TYPE, "Auction").when(kind == "error", "Person").alias("event_type"),
+        kind.alias(SOURCE_TYPE),
         t.alias("t"),
         (user % n_partitions).alias("partition"),
         F.col("event_id").alias("offset"),
         (t + F.col("event_id") % 1000).alias("append_ts"),
         _only(kind.isin(*BID_TYPES), auction=key, bidder=user, price=price, dateTime=t, extra=kind).alias("bid"),
         _only(
-            kind == "signup", id=key, itemName=none.cast("string"), description=none.cast("string"), initialBid=price, reserve=none.cast("long"), dateTime=t, expires=none.cast("long"), seller=user,
+            kind == AUCTION_TYPE, id=key, itemName=none.cast("string"), description=none.cast("string"), initialBid=price, reserve=none.cast("long"), dateTime=t, expires=none.cast("long"), seller=user,
             category=10 + user % 5, extra=kind,
         ).alias("auction"),
         _only(
@@ -64,10 +67,15 @@ def partition_streams(spark: SparkSession, sf_dir: str, n_partitions: int = N_PA
     return [stream_events(spark, sf_dir, n_partitions).filter(F.col("partition") == p) for p in range(n_partitions)]
 
 
+def _of_type(events: DataFrame, name: str, stored: tuple[str, ...]) -> DataFrame:
+    found = events.filter(F.col("event_type") == name)
+    return found.filter(F.col(SOURCE_TYPE).isin(*stored)) if SOURCE_TYPE in events.columns else found
+
+
 def bids(events: DataFrame) -> DataFrame:
     """Filter by type and narrow; the event time is the bid's own, not the envelope's."""
-    return events.filter(F.col("event_type") == "Bid").select("partition", "offset", "append_ts", F.col("bid.dateTime").alias("t"), "bid.auction", "bid.bidder", "bid.price", "bid.extra")
+    return _of_type(events, "Bid", BID_TYPES).select("partition", "offset", "append_ts", F.col("bid.dateTime").alias("t"), "bid.auction", "bid.bidder", "bid.price", "bid.extra")
 
 
 def auctions(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_type") == "Auction").select("partition", "offset", F.col("auction.dateTime").alias("t"), F.col("auction.id").alias("auction"), "auction.category", "auction.seller")
+    return _of_type(events, "Auction", (AUCTION_TYPE,)).select("partition", "offset", F.col("auction.dateTime").alias("t"), F.col("auction.id").alias("auction"), "auction.category", "auction.seller")
