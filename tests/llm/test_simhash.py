@@ -7,7 +7,7 @@ import xxhash
 from helpers import docs, messy
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import document_classes, keep_one, near_duplicates, trie_links
+from tidemark.llm.simhash import document_classes, keep_one, near_duplicates, star_links, trie_links
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -43,6 +43,9 @@ def test_trie_links_connect_what_brute_force_connects(budget):
         values = sorted({rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for _ in range(700)})
         found = trie_links(np.asarray(values, dtype=np.uint64), budget)
         assert all((values[i] ^ values[j]).bit_count() <= budget for i, j in found) and len(found) < len(values)
+        if rng.random() < 0.5 and found:
+            found = star_links(np.asarray(values, dtype=np.uint64), found, np.asarray(values, dtype=np.uint64).view(np.int64), budget).tolist()
+            assert all((values[i] ^ values[j]).bit_count() <= budget for i, j in found)
         parent = list(range(len(values)))
 
         def root(i, parent=parent):

@@ -143,6 +143,25 @@ def trie_links(values: np.ndarray, budget: int, depth: int = 0) -> list[tuple[in
     return links.found
 
 
+def star_links(values: np.ndarray, found: list[tuple[int, int]], order: np.ndarray, budget: int) -> np.ndarray:
+    """The same classes with links that other subtries are likely to make too: to the member of lowest ``order``, where that
+    is within the budget; the found link otherwise. The many choices of parts then repeat links instead of adding new ones."""
+    links = Links(len(values))
+    for i, j in found:
+        links.link(i, j)
+    members = np.unique(np.asarray(found, dtype=np.int64))
+    roots = np.asarray([links.root(i) for i in members.tolist()])
+    by = np.lexsort((order[members], roots))
+    first = np.concatenate([[True], roots[by][1:] != roots[by][:-1]])
+    centre = np.zeros(len(values), dtype=np.int64)
+    centre[members[by]] = members[by][first][np.cumsum(first) - 1]
+    close = np.zeros(len(values), dtype=bool)
+    close[members] = np.bitwise_count(values[members] ^ values[centre[members]]) <= budget
+    stars = members[close[members] & (centre[members] != members)]
+    rest = [(i, j) for i, j in found if not (close[i] and close[j])]
+    return np.concatenate([np.stack([stars, centre[stars]], axis=1), np.asarray(rest, dtype=np.int64).reshape(-1, 2)])
+
+
 def block_layout(blocks: int, budget: int) -> list[list[int]]:
     """For each choice of ``blocks - budget`` parts, the bit order that puts them in front (bit numbers, top first)."""
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
@@ -182,9 +201,12 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, blocks: int = B
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links_of(table: int, values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             by = np.argsort(values)
-            pairs = np.asarray(trie_links(values[by], budget, fronts[table]), dtype=np.int64).reshape(-1, 2)
-            named = nodes[by]
-            return named[pairs[:, 0]], named[pairs[:, 1]]
+            found, named = trie_links(values[by], budget, fronts[table]), nodes[by]
+            if len(found) > 1:
+                found = star_links(values[by], found, named, budget)
+            pairs = np.asarray(found, dtype=np.int64).reshape(-1, 2)
+            u, v = named[pairs[:, 0]], named[pairs[:, 1]]
+            return np.minimum(u, v), np.maximum(u, v)
 
         held: list[tuple[np.ndarray, np.ndarray]] = []  # the subtrie that the last batch ended in
         held_key = None
@@ -221,7 +243,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, blocks: int = B
 
 
 def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
@@ -239,7 +261,8 @@ def verified_links(links: DataFrame, marked: DataFrame, docs: DataFrame, keys: l
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in batch.column(1).to_pylist()]
+            # Half of each hash is plenty for the overlap of two texts.
+            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
