@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.runtime import delete_path, scratch_path
 
 
+EDGES_PER_FILE = 500_000
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -41,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     old, seen = None, None
     for _ in range(max_rounds):
         path = scratch_path(spark, "components")
-        current.write.parquet(path)
+        # As many files as the edges of the round before fill (later rounds have no more than the first).
+        (current.coalesce(1 + seen[0] // EDGES_PER_FILE) if seen else current).write.parquet(path)
         current = spark.read.schema("u long, v long").parquet(path)
         if old:
             delete_path(spark, old)
