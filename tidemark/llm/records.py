@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import memo
-from tidemark.runtime import scratch_path, ship
+from tidemark.llm.tokens import memo, slices
+from tidemark.runtime import scratch_path, ship, small_batches
 
-SHARD_BYTES = 32 << 20  # of text; one shard is read as one value, so this bounds a task's memory
+SHARD_BYTES = 8 << 20  # of text; one shard is read as one value, so this bounds a task's memory. Raise it with that
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<BqQ")
 MASK_DELTA = 0xA282EAD8
 INDEX = "shard int, record long, doc_id long, offset long, length long, n_ids long"
@@ -51,7 +51,7 @@ def pack(doc_id: int | None, ids: bytes) -> bytes:
     return PAYLOAD_HEAD.pack(doc_id is not None, doc_id or 0, len(ids) // 2) + ids
 
 
-def read_at(content: bytes, offset: int) -> tuple[int | None, bytes, int]:
+def read_at(content: bytes | memoryview, offset: int) -> tuple[int | None, bytes, int]:
     """The document id, the ids and the next record's offset; checks both checksums and the end mark."""
     length, check = HEAD.unpack_from(content, offset)
     if check != masked(content[offset : offset + 8]):
@@ -62,13 +62,13 @@ def read_at(content: bytes, offset: int) -> tuple[int | None, bytes, int]:
     if len(payload) != length or struct.unpack_from("<I", content, end)[0] != masked(payload) or content[end + 4 : end + 5] != b"\n":
         raise ValueError(f"damaged record at {offset}")
     has_id, doc_id, n = PAYLOAD_HEAD.unpack_from(payload)
-    ids = payload[PAYLOAD_HEAD.size :]
+    ids = bytes(payload[PAYLOAD_HEAD.size :])
     if len(ids) != 2 * n:
         raise ValueError(f"wrong number of ids at {offset}")
     return (doc_id if has_id else None), ids, end + 5
 
 
-def walk(content: bytes) -> Iterator[tuple[int, int, int | None, bytes]]:
+def walk(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None, bytes]]:
     """(offset, length, doc_id, ids) of each record of a file."""
     at = 0
     while at < len(content):
@@ -87,14 +87,15 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0,
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = memo(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             ids = words.encode(batch.column(1).to_pylist())
             frames = [frame(pack(d, i + end))[:-1] for d, i in zip(batch.column(0).to_pylist(), ids, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(frames, pa.binary())], ["shard", "frame"])
 
     framed = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(encode, "shard int, frame binary")
     # The text writer adds the line feed that ends each record.
-    framed.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    with small_batches(docs.sparkSession):
+        framed.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +110,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(d, ids) for _, _, d, ids in walk(content.as_py())]
+                found = [(d, ids) for _, _, d, ids in walk(memoryview(content.as_buffer()))]
                 for at in range(0, len(found), 1024):
                     part = found[at : at + 1024]
                     yield pa.RecordBatch.from_arrays(
@@ -133,7 +134,7 @@ def build_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(shard, i, d, at, length, len(ids) // 2) for i, (at, length, d, ids) in enumerate(walk(content.as_py()))]
+                found = [(shard, i, d, at, length, len(ids) // 2) for i, (at, length, d, ids) in enumerate(walk(memoryview(content.as_buffer())))]
                 columns = list(zip(*found, strict=True)) or [[]] * 6
                 kinds = [pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "record", "doc_id", "offset", "length", "n_ids"])
