@@ -89,3 +89,12 @@ def test_messy(spark):
     assert drop_leaking(messy(spark), bench).count() == 8
     assert find_leaks(docs(spark, []), bench).count() == 0
     assert find_leaks(messy(spark), bench.filter("false")).count() == 0
+
+
+def test_rows_without_a_leak_stay_whatever_their_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    clean = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, f"{clean} {item}"), (None, clean), (None, None), (7, f"{item} {clean}"), (7, clean), (7, clean), (8, item), (9, clean)]
+    kept = drop_leaking(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [(None, clean), (None, None), (7, clean), (7, clean), (9, clean)]))

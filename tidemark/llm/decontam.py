@@ -216,12 +216,13 @@ def _chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tupl
         yield chunk
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, begin_word, end_word, edits, similarity) for every document and item that it leaks."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, item_id, begin_word, end_word, edits, similarity) for every document and item that it leaks, and the
+    columns of the document that ``also`` names."""
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], *LEAKS.fields])
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *also)
+    schema = T.StructType([rows.schema["doc_id"], *LEAKS.fields, *(rows.schema[c] for c in also)])
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
 
     def finder(items: list[tuple[int, str]]):
@@ -237,8 +238,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                     found = list(look.search(np.asarray(ids, dtype=np.int64), np.asarray(bounds, dtype=np.int64)))
                     if found:
                         columns = [[look.texts[i][0] for _, i, *_ in found], [b for _, _, b, _, _ in found], [e for *_, e, _ in found], [d for *_, d in found], [1 - d / len(look.ids[i]) for _, i, _, _, d in found]]
+                        taken = pa.array([numbers[d] for d, *_ in found])
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array([numbers[d] for d, *_ in found])), *(pa.array(c, k) for c, k in zip(columns, arrow, strict=True))], ["doc_id", *LEAKS.names]
+                            [batch.column(0).take(taken), *(pa.array(c, k) for c, k in zip(columns, arrow, strict=True)), *(batch.column(c).take(taken) for c in also)], ["doc_id", *LEAKS.names, *also]
                         )
 
                 for number, body in enumerate(batch.column(1).to_pylist()):
@@ -263,6 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose text leaks an item."""
-    found = find_leaks(docs, benchmark, doc_id).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found["__leaks"]), "left_anti")
+    """``docs`` without the rows whose text leaks an item. Rows of one id, or of none, are told apart by a hash of the text."""
+    marked = docs.withColumn("__body", F.xxhash64("text"))
+    found = find_leaks(marked, benchmark, doc_id, also=("__body",)).select(F.col("doc_id").alias("__leaks"), F.col("__body").alias("__leaking")).distinct()
+    return marked.join(found, marked[doc_id].eqNullSafe(found["__leaks"]) & (marked["__body"] == found["__leaking"]), "left_anti").drop("__body")
