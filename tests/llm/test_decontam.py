@@ -98,3 +98,22 @@ def test_rows_without_a_leak_stay_whatever_their_id(spark):
     kept = drop_leaking(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert kept.columns == ["doc_id", "text"]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, [(None, clean), (None, None), (7, clean), (7, clean), (9, clean)]))
+
+
+def test_long_items_by_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(n, " ".join(rng.choices(vocabulary, k=n))) for n in (50, 100, 200, 400)]
+    rows = []
+    for n, item in items:
+        for d in range(12):
+            words = item.split()
+            if d % 2:
+                words = edited(rng, words, n // 5)
+            else:
+                for _ in range(n // 5):
+                    del words[rng.randrange(len(words))]
+            rows.append((1000 * n + d, " ".join(rng.choices(vocabulary, k=40) + words + rng.choices(vocabulary, k=40))))
+    want = {(d, n): edits for d, text in rows for n, item in items if (edits := sellers(item.split(), text.split())) <= n // 5}
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(docs(spark, rows, 3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 48 and got == want

@@ -1,17 +1,14 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
+"""Benchmark decontamination: unchanged pieces, word counts, exact edit verification.
 
 Texts and items are words (lower-cased, common punctuation apart). A document leaks an item of ``L`` words if
 some window of it is within ``k = floor(0.2 L)`` word edits, that is at an edit similarity of 0.8 or more.
 
-1. Windows. If at most ``k`` edits separate a window from an item, one of the ``k + 1`` pieces that the item is cut
-   into is there unchanged. So windows of an item's size need to be looked at only where some piece of
-   an item of that size occurs, shifted by up to ``k`` words. This filter loses nothing.
-2. Embedding. The random walk of Chakraborty, Goldenberg and Koucky reads a word, writes it, and moves on or
-   not by a random bit of (step, word); all strings use the same bits. Few edits become few mismatches.
-3. LSH. ``SAMPLES`` samplings of ``BITS`` written positions, for each of ``WALKS`` walks, are looked up among the
-   items of that size; a collision makes a candidate. With those numbers a window half of whose written
-   positions differ is still found with a probability above 0.98 (independent samples).
-4. Verification. The exact edit distance of the item to the best stretch around the window.
+1. Pieces. If at most ``k`` edits separate a window from an item, one of the ``k + 1`` pieces that the item is cut
+   into is there unchanged. So an item is looked for only where one of its pieces occurs, shifted by up to ``k`` words.
+2. Counts. ``L - k`` words of the item are left unedited, so at least as many must be somewhere in that stretch.
+3. Verification. The exact edit distance of the item to the best part of the stretch.
+
+Both filters are necessary conditions, so no leak is lost, whatever the item's length and the kind of edits.
 
 The items are the query side: they are taken in chunks of at most ``CHUNK_WORDS`` words, which bounds what a task
 holds, one pass over the documents per chunk. No document or link reaches the driver.
@@ -23,7 +20,6 @@ skipped, as is a null one; equal items each get a row; repeated documents each g
 
 from __future__ import annotations
 
-import random
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,11 +33,11 @@ from tidemark.runtime import ship
 
 SIMILARITY_EDITS = 0.2
 MIN_WORDS = 5
-WALKS, SAMPLES, BITS = 4, 8, 3
 CHUNK_WORDS = 200_000
 TABLE_BITS = 20
 PUNCTUATION = ".,!?;:\"|()[]"
 BATCH_WORDS = 1 << 21
+BLOCK = 4096  # places whose words are counted at once
 
 
 def words_of(text: str) -> list[str]:
@@ -54,118 +50,99 @@ def words_of(text: str) -> list[str]:
 class Items:
     """The items of one chunk, ready for lookup."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = 11):
+    def __init__(self, items: list[tuple[int, str]]):
         texts = [(item, words_of(text)) for item, text in items]
         self.texts = [(item, w) for item, w in texts if len(w) >= MIN_WORDS]
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in self.texts for w in ws}))}
         self.pad = len(self.vocabulary) + 1  # 0 is any word that no item has
         self.ids = [np.asarray([self.vocabulary[w] for w in ws], dtype=np.int64) for _, ws in self.texts]
+        self.lengths = np.asarray([len(ids) for ids in self.ids], dtype=np.int64)
         self.longest = max(map(len, self.ids), default=0)
-        rng = np.random.default_rng(seed)
-        self.steps = rng.integers(0, 2, size=(WALKS, 2 * self.longest + 1, self.pad + 1), dtype=np.int8)
         self._pieces()
-        self._tables(random.Random(seed))
 
     @staticmethod
     def edits(length: int) -> int:
         return int(SIMILARITY_EDITS * length + 1e-9)
 
     def _pieces(self) -> None:
-        #: by piece size: a bitmap over the mixed keys, and key -> the (window size, place in it) to look at
-        found: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
-        for ids in self.ids:
+        #: by piece size: a bitmap over the mixed keys, and key -> the (item, place in it) to look at
+        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for i, ids in enumerate(self.ids):
             k = self.edits(len(ids))
             size = len(ids) // (k + 1)
             for p in range(k + 1):
                 at = p * size
-                found[size][int(piece_keys(ids[at : at + size], size)[0])].add((len(ids), at))
-        self.pieces = {size: {key: sorted(places) for key, places in keys.items()} for size, keys in found.items()}
+                found[size][int(piece_keys(ids[at : at + size], size)[0])].append((i, at))
+        self.pieces = {size: {key: np.asarray(places, dtype=np.int64) for key, places in keys.items()} for size, keys in found.items()}
         self.bitmaps = {}
         for size, keys in self.pieces.items():
             bitmap = np.zeros(1 << TABLE_BITS, dtype=bool)
             bitmap[np.fromiter(keys, dtype=np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
             self.bitmaps[size] = bitmap
 
-    def _tables(self, rng: random.Random) -> None:
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for i, ids in enumerate(self.ids):
-            by_length[len(ids)].append(i)
-        self.samples, self.tables = {}, {}
-        for length, members in sorted(by_length.items()):
-            flat = np.concatenate([np.concatenate([self.ids[i], np.full(length, self.pad)]) for i in members])
-            starts = np.arange(len(members)) * 2 * length
-            for walk in range(WALKS):
-                picks = [sorted(rng.sample(range(2 * length), BITS)) for _ in range(SAMPLES)]
-                self.samples[length, walk] = picks
-                written = self.embed(flat, starts, length, walk)
-                for s, pick in enumerate(picks):
-                    table: dict[int, list[int]] = defaultdict(list)
-                    for i, key in zip(members, self.key(written, pick).tolist(), strict=True):
-                        table[key].append(i)
-                    self.tables[length, walk, s] = dict(table)
-
-    def embed(self, flat: np.ndarray, starts: np.ndarray, length: int, walk: int) -> np.ndarray:
-        """The words that the walk writes in 2 x length steps from each start, one row per step."""
-        at, steps = np.zeros(len(starts), dtype=np.int64), self.steps[walk]
-        written = np.empty((2 * length, len(starts)), dtype=np.int64)
-        for j in range(2 * length):
-            word = np.where(at < length, flat[starts + np.minimum(at, length - 1)], self.pad)
-            written[j] = word
-            at += steps[j][word]
-        return written
-
-    def key(self, written: np.ndarray, pick: list[int]) -> np.ndarray:
-        key = np.zeros(written.shape[1], dtype=np.int64)
-        for j in pick:
-            key = key * (self.pad + 1) + written[j]
-        return key
-
-    def windows(self, flat: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows to look at, by their size."""
-        starts: dict[int, set[int]] = defaultdict(set)
+    def places(self, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, begins): where an unchanged piece puts an item, in blocks."""
         for size, keys in self.pieces.items():
             if len(flat) < size:
                 continue
             mixed = piece_keys(flat, size)
+            held, rows = [], 0
             for p in np.flatnonzero(self.bitmaps[size][mixed >> np.uint64(64 - TABLE_BITS)]).tolist():
-                for length, place in keys.get(int(mixed[p]), ()):
-                    k = self.edits(length)
-                    starts[length].update(range(p - place - k, p - place + k + 1))
-        return {length: np.asarray(sorted(found), dtype=np.int64) for length, found in starts.items()}
+                found = keys.get(int(mixed[p]))
+                if found is None:
+                    continue
+                held.append(np.stack([found[:, 0], p - found[:, 1]]))
+                rows += len(found)
+                if rows >= BLOCK:
+                    yield tuple(np.concatenate(held, axis=1))
+                    held, rows = [], 0
+            if held:
+                yield tuple(np.concatenate(held, axis=1))
+
+    def plausible(self, flat: np.ndarray, items: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Whether the stretch around each place holds enough of the item's words (of any document: an upper bound)."""
+        lengths = self.lengths[items]
+        good = np.zeros(len(items), dtype=bool)
+        for length in np.unique(lengths).tolist():
+            k, of_length = self.edits(length), np.flatnonzero(lengths == length)
+            step = max(1, BLOCK * 64 // length)
+            for at in (of_length[i : i + step] for i in range(0, len(of_length), step)):
+                words = np.stack([self.ids[i] for i in items[at].tolist()])
+                around = flat[np.clip(begins[at, None] + np.arange(-k, length + k), 0, len(flat) - 1)]
+                there = np.zeros(len(at), dtype=np.int64)
+                for j in range(length):
+                    there += (around == words[:, j : j + 1]).any(axis=1)
+                good[at] = there >= length - k
+        return good
 
     def search(self, flat: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, begin, end, edits): verified matches. ``flat`` holds all documents, each followed by
         ``longest`` pads; ``bounds`` are their begins."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        begins: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for items, at in self.places(flat):
+            good = self.plausible(flat, items, at)
+            items, at = items[good], at[good]
+            # A piece lies inside its document, the item's begin may lie before it.
+            owner = np.searchsorted(bounds, at + self.lengths[items] - 1, side="right") - 1
+            for doc, i, begin in zip(owner.tolist(), items.tolist(), at.tolist(), strict=True):
+                begins[doc, i].add(begin)
         ends = np.append(bounds[1:], len(flat)) - self.longest
-        for length, starts in self.windows(flat).items():
-            owner = np.searchsorted(bounds, np.maximum(starts, 0), side="right") - 1
-            starts = np.maximum(starts, bounds[owner])
-            inside = starts < ends[owner]
-            starts, owner = starts[inside], owner[inside]
-            pairs: set[tuple[int, int]] = set()
-            for walk in range(WALKS):
-                written = self.embed(flat, np.minimum(starts, len(flat) - length), length, walk)
-                for s, pick in enumerate(self.samples[length, walk]):
-                    table = self.tables[length, walk, s]
-                    keys = self.key(written, pick)
-                    for w in np.flatnonzero(np.isin(keys, np.fromiter(table, dtype=np.int64))).tolist():
-                        pairs.update((w, i) for i in table[int(keys[w])])
-            k = self.edits(length)
-            done: dict[tuple[int, int], int] = {}
-            for w, i in sorted(pairs):
-                doc, start = int(owner[w]), int(starts[w])
-                if start <= done.get((doc, i), -1):  # the stretch that was compared holds this window too
-                    continue
-                low = max(int(bounds[doc]), start - k)
-                high = min(start + length + 3 * k, int(ends[doc]))
-                done[doc, i] = start + k
+        for (doc, i), found in sorted(begins.items()):
+            k, length = self.edits(len(self.ids[i])), len(self.ids[i])
+            stretches: list[list[int]] = []  # overlapping ones are compared as one
+            for begin in sorted(found):
+                low, high = max(int(bounds[doc]), begin - k), min(begin + length + k, int(ends[doc]))
+                if stretches and low <= stretches[-1][1]:
+                    stretches[-1][1] = high
+                else:
+                    stretches.append([low, high])
+            best = None
+            for low, high in stretches:
                 edits, begin, end = closest(self.ids[i], flat[low:high])
-                if edits <= k:
-                    match = (edits, low + begin - int(bounds[doc]), low + end - int(bounds[doc]))
-                    best[doc, i] = min(best.get((doc, i), match), match)
-        for (doc, i), (edits, begin, end) in sorted(best.items()):
-            yield doc, i, begin, end, edits
+                if edits <= k and (best is None or edits < best[0]):
+                    best = (edits, low + begin - int(bounds[doc]), low + end - int(bounds[doc]))
+            if best:
+                yield doc, i, best[1], best[2], best[0]
 
 
 def piece_keys(ids: np.ndarray, size: int) -> np.ndarray:
