@@ -117,3 +117,13 @@ def test_long_items_by_brute_force(spark):
     want = {(d, n): edits for d, text in rows for n, item in items if (edits := sellers(item.split(), text.split())) <= n // 5}
     got = {(r["doc_id"], r["item_id"]): r["edits"] for r in find_leaks(docs(spark, rows, 3), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(want) >= 48 and got == want
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(13)
+    han, thai = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40)), "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(40))
+    other = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60))
+    rows = [(1, f"{other}\u3002{han}\u3002abc"), (2, other + han[:10] + "\u4e00" + han[12:] + other), (3, other), (4, f"{other}{thai}x"), (5, f"Words, {han[:20]}\uff0c{han[20:]}words")]
+    got = find_leaks(docs(spark, rows), spark.createDataFrame([(1, han), (2, thai), (3, "\u4e00\u4e8c")], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(1, 1, 0), (2, 1, 2), (4, 2, 0), (5, 1, 0)]
+    assert words_of("It's caf\u00e9 \uac00\ub098.") == ["it's", "caf\u00e9", "\uac00\ub098"]

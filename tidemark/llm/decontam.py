@@ -1,6 +1,7 @@
 """Benchmark decontamination: unchanged pieces, word counts, exact edit verification.
 
-Texts and items are words (lower-cased, common punctuation apart). A document leaks an item of ``L`` words if
+Texts and items are words (lower-cased, common punctuation apart; in scripts that do not put spaces between words, each
+character is one). A document leaks an item of ``L`` words if
 some window of it is within ``k = floor(0.2 L)`` word edits, that is at an edit similarity of 0.8 or more.
 
 1. Pieces. If at most ``k`` edits separate a window from an item, one of the ``k + 1`` pieces that the item is cut
@@ -20,6 +21,7 @@ skipped, as is a null one; equal items each get a row; repeated documents each g
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,6 +38,12 @@ MIN_WORDS = 5
 CHUNK_WORDS = 200_000
 TABLE_BITS = 20
 PUNCTUATION = ".,!?;:\"|()[]"
+#: Scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo, Han. And their punctuation.
+UNSPACED = re.compile(
+    "([\u0e01-\u0e4e\u0e81-\u0ece\u0f40-\u0fbc\u1000-\u103f\u1780-\u17d3\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f"
+    "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])"
+)
+UNSPACED_MARKS = re.compile("[\u3000-\u3003\u3008-\u3020\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 BATCH_WORDS = 1 << 21
 BLOCK = 4096  # places whose words are counted at once
 
@@ -44,6 +52,8 @@ def words_of(text: str) -> list[str]:
     text = text.lower()
     for c in PUNCTUATION:
         text = text.replace(c, " ")
+    if not text.isascii():
+        text = UNSPACED.sub(r" \1 ", UNSPACED_MARKS.sub(" ", text))
     return text.split()
 
 
