@@ -248,47 +248,23 @@ def _jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def verified_links(links: DataFrame, marked: DataFrame, docs: DataFrame, keys: list[str], width: int, text: str, least: float) -> DataFrame:
-    """The links whose texts share at least ``least`` of their distinct shingles (Jaccard).
-
-    Each fingerprint is represented by one of its rows (the smallest ``keys``), found through ``marked``. Shingle sets
-    are made for linked fingerprints only, and travel with the links: linear in the links, no group is built.
-    """
-    ends = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
-    chosen = marked.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*keys)).alias("k")).select("fp", "k.*")
-    on = [docs[k].eqNullSafe(chosen[k]) for k in keys]
-    texts = docs.join(chosen, on).select(chosen["fp"], docs[text].alias("text")).dropDuplicates(["fp"])
-
-    def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # Half of each hash is plenty for the overlap of two texts.
-            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [_jaccard(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near, pa.bool_()))
-
-    sets = materialize(texts.mapInArrow(shingle_sets, "fp long, shingles binary"), "shingle-sets")
-    left = links.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
-    both = left.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    return both.mapInArrow(compare, "u long, v long")
-
-
 def near_duplicates(df: DataFrame, width: int = 4, budget: int = BUDGET, blocks: int = BLOCKS, min_jaccard: float | None = None, doc_id: str = "doc_id", text: str = "text", result: str = "component_id") -> DataFrame:
     """``df`` without its text, with ``fp`` (long), ``body`` (a hash of the text), ``class`` (the smallest fingerprint of
     the row's class) and ``component_id`` (the smallest id of the row's class).
 
-    With ``min_jaccard``, links between different fingerprints count only if the texts are that similar.
+    With ``min_jaccard``, links are all pairs of texts that share at least that of their distinct shingles, at whatever
+    distance their fingerprints are (``budget`` and ``blocks`` do not matter); ``fp`` is then a name of the set of shingles.
     """
+    from tidemark.llm.alike import named_sets, similar_links
+
     source = df.drop("fp", "body", "class", result).withColumn("body", F.xxhash64(F.col(text)))
-    marked = materialize(fingerprints(source, width, text), "fingerprints")
+    marked = materialize(fingerprints(source, width, text) if min_jaccard is None else named_sets(source, width, text, "fp"), "fingerprints")
     # Copies collapse here; the partial minimum keeps a fingerprint that a third of all rows share cheap.
     distinct = materialize(marked.groupBy("fp").agg(F.min(F.col(doc_id).cast("long")).alias("first_id")), "distinct-fingerprints")
-    links = fingerprint_links(distinct, budget, blocks).distinct()
-    if min_jaccard is not None:
-        links = verified_links(materialize(links, "fingerprint-links"), marked, source, [doc_id, "body"], width, text, min_jaccard)
+    if min_jaccard is None:
+        links = fingerprint_links(distinct, budget, blocks).distinct()
+    else:
+        links = similar_links(marked, source, [doc_id, "body"], width, text, min_jaccard)
     classes = connected_components(links)
     member = distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
     member = materialize(member, "fingerprint-classes")
