@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import _jaccard, shingle_hashes
 from tidemark.llm.tokens import slices
-from tidemark.runtime import materialize, ship
+from tidemark.runtime import materialize, ship, small_batches
 
-SAMPLE, FREQUENT = 20_000, 200_000  # sets that are sampled, frequent shingles that are told apart
+SAMPLE, FREQUENT = 5_000, 50_000  # sets that are sampled, frequent shingles that are told apart
 FUNCTIONS = 4
 ROWS = 256  # sets of one shingle that are held against the others at once
 EPS = 1e-9
@@ -170,7 +170,8 @@ def similar_links(marked: DataFrame, docs: DataFrame, keys: list[str], width: in
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64))], ["shingle"])
 
     spelt = (sets if share == 1.0 else sets.sample(share, 3)).select("shingles").mapInArrow(spell, "shingle long")
-    top = spelt.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+    with small_batches(spark, 256):
+        top = spelt.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
     frequent, counts = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
     by = np.argsort(frequent)
     frequent, counts = frequent[by], counts[by]
@@ -203,7 +204,7 @@ def similar_links(marked: DataFrame, docs: DataFrame, keys: list[str], width: in
                 n = len(shingles)
                 if n:
                     front = prefix_order(shingles, frequent, counts)[: prefix_size(n, least)].view(np.int64)
-                    columns.append([front, *(np.full(len(front), x, dtype=np.int64) for x in (n,)), np.arange(len(front)), *(np.full(len(front), x, dtype=np.int64) for x in (node, group))])
+                    columns.append([front, np.full(len(front), n, dtype=np.int64), np.arange(len(front)), *(np.full(len(front), x, dtype=np.int64) for x in (node, group))])
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["shingle", "n", "place", "node", "grp"])
 
