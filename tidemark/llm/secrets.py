@@ -136,8 +136,12 @@ def scan(text: str | None, model: MarkovRatio) -> list[tuple[str, int, int, floa
         found += [("access", m.start(), m.end(), math.inf) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), math.inf) for m in HEX.finditer(text)]
     base = sorted((s, e) for _, s, e, _ in found)
+    at, reached = 0, 0  # both run from left to right: base spans that begin before the candidate's end, and the farthest end of those
     for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, e in base):
+        while at < len(base) and base[at][0] < m.end():
+            reached = max(reached, base[at][1])
+            at += 1
+        if reached > m.start():
             continue
         if (score := model.score(m[0])) > model.threshold:
             found.append(("markov", m.start(), m.end(), score))
