@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 from helpers import docs, messy
 
-from tidemark.llm.quality import document_quality, fit, judge
+from tidemark.llm.quality import PSEUDO, START_BAD, START_GOOD, document_quality, fit, judge, rules
 
 
 def brute(text):
@@ -43,6 +44,61 @@ def test_em_finds_good_and_bad():
     assert all(abs(a - b) < 0.15 for a, b in zip(model.on_bad, on_bad, strict=True))
 
 
+def test_an_erring_rule_is_outvoted():
+    """The last rule condemns a twentieth of the good documents: they stay, where all-must-pass would drop them."""
+    rng = random.Random(5)
+    counts, truth = {}, []
+    for _ in range(20_000):
+        good = rng.random() < 0.9
+        votes = tuple(1 if rng.random() < (0.999 if good else 0.15) else -1 for _ in range(3)) + (-1 if rng.random() < 0.05 else 1,)
+        counts[votes] = counts.get(votes, 0) + 1
+        truth.append((votes, good))
+    model = fit(sorted(counts.items()), 4)
+    kept = [model.log_odds(v) > 0 for v, _ in truth]
+    outvoted = [k for k, (v, good) in zip(kept, truth, strict=True) if good and v == (1, 1, 1, -1)]
+    assert len(outvoted) > 500 and all(outvoted)
+    assert sum(k == good for k, (_, good) in zip(kept, truth, strict=True)) / len(truth) > 0.99
+    assert abs(model.on_good[3] - 0.95) < 0.02
+
+
+def independent_em(votes):
+    """EM over a matrix of votes, a row for each document, written with arrays."""
+    votes = np.asarray(votes)
+    n, pseudo = len(votes), max(1.0, PSEUDO * len(votes))
+    belief = np.where((votes < 0).any(axis=1), 0.05, 0.95)
+    for _ in range(500):
+        prior = (belief.sum() + 0.9 * pseudo) / (n + pseudo)
+        good = (((votes > 0) * belief[:, None]).sum(axis=0) + pseudo * START_GOOD) / (((votes != 0) * belief[:, None]).sum(axis=0) + pseudo)
+        bad = (((votes < 0) * (1 - belief)[:, None]).sum(axis=0) + pseudo * START_BAD) / (((votes != 0) * (1 - belief)[:, None]).sum(axis=0) + pseudo)
+        useful = good + bad > 1
+        odds = np.log(prior / (1 - prior)) + ((votes > 0) * useful) @ np.log(good / (1 - bad)) + ((votes < 0) * useful) @ np.log((1 - good) / bad)
+        old, belief = belief, 1 / (1 + np.exp(-odds))
+        if np.abs(old - belief).max() < 1e-9:
+            break
+    return belief
+
+
+def test_kept_by_an_independent_em(spark):
+    rng = random.Random(8)
+    words = ["the", "river", "runs", "down", "between", "old", "hills", "toward", "a", "quiet", "town", "people", "sell", "bread", "each", "morning", "work", "begins"]
+
+    def prose(n, mark=""):
+        return " ".join(rng.choice(words) + (mark if rng.random() < 0.7 else rng.choice(["", "."])) for _ in range(n))
+
+    texts = [prose(rng.randint(60, 200)) for _ in range(80)]
+    texts += [prose(150, rng.choice(["***", "#", "|$"])) for _ in range(15)]
+    texts += ["\n".join([prose(40)] + [prose(4)] * 5) for _ in range(4)]  # repeated lines alone: prose otherwise
+    texts += ["short", prose(60).upper(), "7 4 " * 60]
+    got = {r["doc_id"]: r for r in judge(docs(spark, list(enumerate(texts)))).collect()}
+    passed = [i for i in range(len(texts)) if not got[i]["base_failed"]]
+    names = [f"vote_{k}" for k in rules()]
+    belief = independent_em([[got[i][n] for n in names] for i in passed])
+    assert np.allclose([got[i]["quality"] for i in passed], belief, atol=1e-6)
+    assert {i for i in got if got[i]["kept"]} == {i for i, b in zip(passed, belief, strict=True) if b >= 0.5}
+    condemned = [i for i in passed if min(got[i][n] for n in names) < 0]
+    assert any(got[i]["kept"] for i in condemned) and not all(got[i]["kept"] for i in condemned)
+
+
 def test_symbol_soup_goes_and_prose_stays(spark):
     rng = random.Random(6)
     words = ["the", "river", "runs", "down", "between", "old", "hills", "toward", "a", "quiet", "town", "where", "people", "sell", "bread", "each", "morning", "before", "work", "begins"]

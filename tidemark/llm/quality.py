@@ -1,10 +1,11 @@
 """Quality rules as weak supervision: rules vote or abstain, EM weighs them, a posterior decides.
 
-Each rule looks at per-document counts and votes good (1), bad (-1) or abstains (0). The votes of all
-documents are counted by vote vector (at most 3^rules rows, whatever the number of documents). EM runs
+Every fault is seen by several rules from different sides, so that they can confirm or outvote each other. Each rule looks at per-document counts and votes good (1), bad (-1) or abstains (0). The votes of all
+documents that pass the base rules are counted by vote vector (at most 3^rules rows, whatever the number of documents). EM runs
 over those counts on the driver and estimates, for each rule, the accuracy of its votes on good and on bad
 documents, and the share of good documents. A document's quality is the posterior probability of
-good given its votes, computed as a sum of log odds inside the plan.
+good given its votes, computed as a sum of log odds inside the plan. No rule has a veto: a bad vote of a rule that often
+votes bad on documents which all others find good is outvoted. A rule that is no better than chance has no weight.
 
 Defined cases: a null or empty text has no words and fails the base rules; if no rule votes, the
 posterior is the prior; an empty table leaves the starting accuracies; repeated rows each get a result;
@@ -23,7 +24,8 @@ from tidemark.runtime import materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_chars", "n_ends", "n_upper")
-FALSE_ALARMS = 0.002  # the largest share of good documents on which a rule may vote bad
+START_GOOD, START_BAD = 0.99, 0.3  # prior mean accuracies: rules are mostly right on good documents, and miss most faults
+PSEUDO = 0.001  # weight of those means, as a share of the documents (of one at least)
 
 
 def _words(text: Column) -> Column:
@@ -81,14 +83,15 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """Votes from the counts. All divisions are by at least 1."""
-    words, lines, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "n_chars"))
+    words, lines, chars, in_words = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "n_chars", "word_chars"))
     mean_word = F.col("word_chars") / words
     return {
         "word_size": _vote((mean_word >= 3) & (mean_word <= 10), (mean_word < 2) | (mean_word > 14)),
         "symbols": _vote(F.col("n_symbols") / words <= 0.02, F.col("n_symbols") / words > 0.1),
         "dup_lines": _vote(F.col("n_dup_lines") / lines <= 0.1, F.col("n_dup_lines") / lines > 0.3),
         "repeats": _vote(F.col("n_repeat_words") / words <= 0.1, F.col("n_repeat_words") / words > 0.3),
-        "letters": _vote(F.col("n_letters") / chars >= 0.7, F.col("n_letters") / chars < 0.5),
+        "letters": _vote(F.col("n_letters") / chars >= 0.75, F.col("n_letters") / chars < 0.6),
+        "spelt": _vote(F.col("n_letters") / in_words >= 0.9, F.col("n_letters") / in_words < 0.8),
         "sentences": _vote((F.col("n_ends") / words >= 0.01) & (F.col("n_ends") / words <= 0.4), ((F.col("n_words") >= 50) & (F.col("n_ends") == 0)) | (F.col("n_ends") / words > 0.8)),
         "capitals": _vote(F.col("n_upper") / F.greatest("n_letters", F.lit(1)) <= 0.2, F.col("n_upper") / F.greatest("n_letters", F.lit(1)) > 0.5),
     }
@@ -104,7 +107,7 @@ class LabelModel:
 
     def weights(self) -> list[tuple[float, float]]:
         """Log odds that a good vote and a bad vote of each rule add."""
-        return [(log(g / (1 - b)), log((1 - g) / b)) for g, b in zip(self.on_good, self.on_bad, strict=True)]
+        return [(log(g / (1 - b)), log((1 - g) / b)) if g + b > 1 else (0.0, 0.0) for g, b in zip(self.on_good, self.on_bad, strict=True)]
 
     def log_odds(self, votes: tuple[int, ...]) -> float:
         return log(self.prior / (1 - self.prior)) + sum(w[0] if v > 0 else w[1] for v, w in zip(votes, self.weights(), strict=True) if v)
@@ -116,28 +119,26 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 50) -> LabelModel:
-    """EM over counted vote vectors, from the start that a document with any bad vote is probably bad.
-
-    Bad votes are meant to be rare on good documents: their share there is at most ``FALSE_ALARMS``. That
-    keeps the bad class from shrinking to the one fault that several rules see. One pseudo-vote per thousand
-    documents of each kind keeps rare voters near their start.
-    """
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 500, settled: float = 1e-9) -> LabelModel:
+    """EM over counted vote vectors, from the start that a document with any bad vote is probably bad, until no belief
+    moves by more than ``settled``. The accuracies have a weak prior, which scales with the documents; nothing else bounds them."""
     total = sum(n for _, n in patterns)
-    model = LabelModel(0.9, (1 - FALSE_ALARMS,) * n_rules, (0.3,) * n_rules)
+    model = LabelModel(0.9, (START_GOOD,) * n_rules, (START_BAD,) * n_rules)
     belief = [0.05 if min(votes, default=0) < 0 else 0.95 for votes, _ in patterns]
     for _ in range(rounds if total else 0):
-        pseudo = max(1.0, 0.001 * total)
+        pseudo = max(1.0, PSEUDO * total)
         good = sum(n * p for (_, n), p in zip(patterns, belief, strict=True))
         on_good, on_bad = [], []
         for i in range(n_rules):
             cast = [(votes[i], n, p) for (votes, n), p in zip(patterns, belief, strict=True) if votes[i]]
             right_good, all_good = sum(n * p for v, n, p in cast if v > 0), sum(n * p for _, n, p in cast)
             right_bad, all_bad = sum(n * (1 - p) for v, n, p in cast if v < 0), sum(n * (1 - p) for _, n, p in cast)
-            on_good.append(min(0.9999, max(1 - FALSE_ALARMS, (right_good + pseudo) / (all_good + pseudo))))
-            on_bad.append(min(0.99, max(0.05, (right_bad + pseudo * 0.3) / (all_bad + pseudo))))
-        model = LabelModel(min(0.99, max(0.01, good / total)), tuple(on_good), tuple(on_bad))
-        belief = [1 / (1 + exp(-model.log_odds(votes))) for votes, _ in patterns]
+            on_good.append((right_good + pseudo * START_GOOD) / (all_good + pseudo))
+            on_bad.append((right_bad + pseudo * START_BAD) / (all_bad + pseudo))
+        model = LabelModel((good + pseudo * 0.9) / (total + pseudo), tuple(on_good), tuple(on_bad))
+        old, belief = belief, [1 / (1 + exp(-model.log_odds(votes))) for votes, _ in patterns]
+        if max(abs(a - b) for a, b in zip(old, belief, strict=True)) < settled:
+            break
     return model
 
 
@@ -146,7 +147,7 @@ def judge(df: DataFrame, text: str = "text", keep_from: float = 0.5) -> DataFram
     votes = rules()
     counted = materialize(with_counts(df, text).drop(text).withColumns({f"vote_{k}": v for k, v in votes.items()}), "quality-counts")
     names = [f"vote_{k}" for k in votes]
-    patterns = [(tuple(r[n] for n in names), r["__n"]) for r in counted.groupBy(*names).agg(F.count("*").alias("__n")).collect()]
+    patterns = [(tuple(r[n] for n in names), r["__n"]) for r in counted.filter(~base_failed()).groupBy(*names).agg(F.count("*").alias("__n")).collect()]
     model = fit(sorted(patterns), len(names))
     failed = base_failed()
     return counted.withColumns({"quality": model.posterior([F.col(n) for n in names]), "base_failed": failed}).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
