@@ -1,14 +1,17 @@
 import random
 
-import numpy as np
 from helpers import docs, messy
 
-from tidemark.llm.alike import pairs_of, prefix_order, prefix_size
 from tidemark.llm.simhash import keep_one, near_duplicates
 
 
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def jaccard(a, b):
-    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y)
 
 
@@ -20,9 +23,11 @@ def brute(rows):
             i = parent[i]
         return i
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+    sets = [shingles(t) for _, t in rows]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            if both >= 0.8 * (len(x) + len(y) - both):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return [rows[root(i)][0] for i in range(len(rows))]
@@ -30,7 +35,7 @@ def brute(rows):
 
 def check(spark, rows):
     want = dict(zip((d for d, _ in rows), brute(rows), strict=True))
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows, 3), width=5, budget=10, blocks=12, min_jaccard=0.8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows, 3), width=5, min_jaccard=0.8).collect()}
     assert got == want
     return len(rows) - len(set(want.values()))
 
@@ -61,22 +66,38 @@ def test_pairs_just_over_the_threshold(spark):
     assert check(spark, rows) >= 70
 
 
-def test_pairs_of_by_brute_force():
+def test_recall_by_similarity(spark):
+    """Pairs at chosen similarities: the tries' candidates hold the promised share of them."""
     rng = random.Random(6)
-    none = np.zeros(0, dtype=np.uint64)
-    for frequent in (none, np.arange(0, 60, 3, dtype=np.uint64)):
-        counts = frequent.astype(np.int64) % 7 + 1
-        sets = [np.asarray(sorted(rng.sample(range(60), rng.randint(20, 50))), dtype=np.uint64) for _ in range(60)]
-        sets += [np.asarray(sorted(set(s.tolist()) - {rng.choice(s.tolist())}), dtype=np.uint64) for s in sets]
-        held = {}
-        for node, s in enumerate(sets):
-            for place, x in enumerate(prefix_order(s, frequent, counts)[: prefix_size(len(s), 0.8)].tolist()):
-                held.setdefault(x, []).append((len(s), place, node, node))
-        found = {(int(u), int(v)) for rows in held.values() for some in pairs_of(*np.asarray(sorted(rows)).T, 0.8) for u, v in some.T}
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                assert both < 0.8 * (len(sets[i]) + len(sets[j]) - both) or (i, j) in found
+    rows, bands = [], {}
+    for similarity, least in ((0.81, 0.95), (0.86, 0.99), (0.92, 1.0)):
+        for _ in range(120):
+            n = rng.randint(150, 250)
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            new = round(n * (1 - similarity) / (1 + similarity))
+            copy = base[new:] + [f"v{rng.randrange(10**6)}" for _ in range(new)]  # one end replaced: Jaccard (n - new) / (n + new)
+            pair = (" ".join(base), " ".join(copy))
+            if jaccard(*pair) >= 0.8:
+                bands.setdefault((similarity, least), []).append(len(rows))
+                rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, rows, 3), width=5, min_jaccard=0.8).collect()}
+    for (_, least), starts in bands.items():
+        assert len(starts) > 50
+        assert sum(got[i + 1] == i for i in starts) >= least * len(starts)
+    assert all(got[i] in (i, i - 1) for i in got)
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    rng = random.Random(7)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    found = [sorted(map(tuple, near_duplicates(docs(spark, rows, p), width=5, min_jaccard=0.8).select("doc_id", "component_id").collect())) for p in (1, 4, 13)]
+    assert found[0] == found[1] == found[2]
 
 
 def test_messy(spark):

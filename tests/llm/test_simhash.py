@@ -7,7 +7,8 @@ import xxhash
 from helpers import docs, messy
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import document_classes, keep_one, near_duplicates, star_links, trie_links
+from tidemark.llm.simhash import document_classes, fingerprint_links, keep_one, near_duplicates, shingle_hashes, simhash, tries_of
+from tidemark.llm.trie import Counts, Labels, Trie, walked
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -35,28 +36,83 @@ def classes(values, budget):
     return [root(i) for i in range(len(values))]
 
 
-@pytest.mark.parametrize("budget", [0, 2, 4])
-def test_trie_links_connect_what_brute_force_connects(budget):
+def walk(values, tries, thin, counts=None):
+    """Links between the places of ``values``, by walks of the whole tries in one task."""
+    found = set()
+    for trie in tries:
+        turned = trie.turned(values)
+        by = np.argsort(turned)
+        i, j = walked(turned[by], (0, len(by), 0, len(by)), 0, 0, trie, Labels(np.arange(len(by))), thin, counts)
+        found |= {tuple(sorted(p)) for p in zip(by[i].tolist(), by[j].tolist(), strict=True)}
+    return found
+
+
+def components(n, links):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2, 4, 7])
+def test_walks_find_what_brute_force_finds(budget):
     rng = random.Random(budget)
-    for _ in range(20):
+    for _ in range(10):
         base = [rng.getrandbits(64) for _ in range(4)]
-        values = sorted({rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (1 << 64) - 1 for _ in range(700)})
-        found = trie_links(np.asarray(values, dtype=np.uint64), budget)
-        assert all((values[i] ^ values[j]).bit_count() <= budget for i, j in found) and len(found) < len(values)
-        if rng.random() < 0.5 and found:
-            found = star_links(np.asarray(values, dtype=np.uint64), found, np.asarray(values, dtype=np.uint64).view(np.int64), budget).tolist()
-            assert all((values[i] ^ values[j]).bit_count() <= budget for i, j in found)
-        parent = list(range(len(values)))
+        values = sorted({rng.choice(base) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(8))) & (1 << 64) - 1 for _ in range(400)})
+        near = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= budget}
+        array = np.asarray(values, dtype=np.uint64)
+        assert walk(array, tries_of(budget), thin=False) == near
+        thin = walk(array, tries_of(budget), thin=True)
+        assert thin <= near and len(thin) < 2 * len(values)
+        assert components(len(values), thin) == components(len(values), near) == classes(values, budget)
+
+
+def test_equal_words_and_known_classes():
+    values = np.asarray([5] * 300 + [7], dtype=np.uint64)
+    trie = Trie(0, 0, ((64, 1),))
+    i, j = walked(values, (0, 301, 0, 301), 0, 0, trie, Labels(np.arange(301)), False)
+    assert len(i) == 301 * 300 // 2
+    i, j = walked(values, (0, 301, 0, 301), 0, 0, trie, Labels(np.arange(301)), True)
+    assert len(i) == 300
+    i, j = walked(values, (0, 301, 0, 301), 0, 0, trie, Labels(np.asarray([1] * 300 + [2])), False)
+    assert len(i) == 300
+
+
+def test_most_pairs_are_pruned_inside_the_walk():
+    """The fingerprints of a whole table: the walk goes down in pairs of nodes, and the budget stops nearly all of them."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    values = np.unique(np.asarray([simhash(shingle_hashes(t, 4)) for t in texts], dtype=np.uint64))
+    counts = Counts()
+    found = walk(values, tries_of(4), True, counts)
+    pairs = len(values) * (len(values) - 1) // 2
+    assert counts.spent > 50_000 and counts.visited > 50_000
+    assert counts.compared < pairs / 40  # leaves of four words: the rest is pruned above them
+    near = set()
+    for i in range(len(values)):
+        near |= {(i, i + 1 + j) for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 4).tolist()}
+    assert found <= near and components(len(values), found) == components(len(values), near)
 
-        def root(i, parent=parent):
-            while parent[i] != i:
-                i = parent[i]
-            return i
 
-        for i, j in found:
-            a, b = root(i), root(j)
-            parent[max(a, b)] = min(a, b)
-        assert [root(i) for i in range(len(values))] == classes(values, budget)
+def test_dealt_tries_with_hot_nodes(spark):
+    """A crowd below one top node is cut into chunks; the classes are those of brute force."""
+    rng = random.Random(3)
+    crowd = rng.getrandbits(64)
+    values = {rng.getrandbits(64) for _ in range(300)} | {crowd ^ sum(1 << rng.randrange(40) for _ in range(rng.randrange(6))) for _ in range(3000)}
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = fingerprint_links(spark.createDataFrame([(v,) for v in signed], "fp long").repartition(3)).collect()
+    place = {v: i for i, v in enumerate(signed)}
+    assert components(len(values), [(place[r["u"]], place[r["v"]]) for r in links]) == classes(values, 4)
 
 
 def test_document_classes_by_brute_force(spark):
@@ -85,7 +141,7 @@ def test_keep_one(spark):
     near = base[:150] + ["changed"] + base[151:]
     far = base[:150] + [f"v{i}" for i in range(150)]
     rows = [(5, " ".join(base)), (4, " ".join(base)), (9, " ".join(near)), (7, " ".join(far)), (None, " ".join(base)), (4, " ".join(base))]
-    kept = keep_one(docs(spark, rows), width=5, budget=10, blocks=12, min_jaccard=0.8).collect()
+    kept = keep_one(docs(spark, rows), width=5, min_jaccard=0.8).collect()
     assert sorted(r["doc_id"] for r in kept) == [4, 7]
 
 

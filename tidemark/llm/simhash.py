@@ -4,14 +4,15 @@ Fingerprint: the words of a text (ASCII white space apart, A-Z lower-cased) in s
 shingle votes on 64 bits, and a bit is set if over half of the shingles set it. Equal fingerprints
 are one node, so copies, however many, are joined once.
 
-Self-join: the 64 bits are cut into ``blocks`` parts. Two fingerprints within ``budget`` bits agree on at
-least ``blocks - budget`` parts, so they meet in the trie whose top levels are some choice of that many parts
-in front: those levels are crossed without a difference. Each such subtrie is a group of its own; below
-its root, pairs of nodes are walked together, the bits in which they differ are added up, and a
-pair is pruned when the budget is spent, or when all its members are known to be connected. Once the
-bits left cannot exceed the budget, the pair is linked without going further down. What is
-emitted are the links that connect something new (at most members - 1 per subtrie): the classes that all
-links make, without all the pairs of a crowded subtrie.
+Self-join (``trie.py``): the fingerprints are the leaves of a binary trie, which is walked against itself in pairs of nodes. The
+differing bits are added up from the top, and a pair is pruned when they exceed the budget. Of two fingerprints within
+``budget`` bits, either the upper halves differ in at most half of it, or the lower halves in less than that: so there are two tries, one
+with the upper and one with the lower half on top, whose upper 32 levels have just that budget. Links are
+emitted where they connect something new (in each task at most members - 1): the classes that all
+links make, without all the pairs of a crowd.
+
+Near copies by similarity (``near_duplicates`` with ``min_jaccard``) are candidates of the same tries over several
+fingerprints, verified on the shingles: see ``alike.py``.
 
 Defined cases: a null or empty text has no words and the fingerprint 0, linked like any other; fewer words
 than a shingle make one shingle; repeated rows share a class; ids may repeat (the class is by
@@ -21,7 +22,6 @@ fingerprint); null ids are in a class but never name one; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.trie import Trie, joined
 from tidemark.runtime import materialize, ship
 
 BITS, SEED = 64, 42
 BUDGET = 4
-BLOCKS = 6  # 15 subtries of about 21 bits per fingerprint
-LEAF = 256  # node pairs of at most this many members are compared outright
+MIN_DEPTH = 6  # the top levels that are walked before the tasks get their pairs of nodes
 CHUNK = 1 << 16
 
 
@@ -77,200 +77,42 @@ def fingerprints(df: DataFrame, width: int, text: str = "text", result: str = "f
     return kept.mapInArrow(run, T.StructType([*others, T.StructField(result, T.LongType())]))
 
 
-class Links:
-    """Union-find over the members of one subtrie; keeps the links that joined two sets."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.found: list[tuple[int, int]] = []
-
-    def root(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-            self.found.append((i, j))
-
-    def one_set(self, spans: tuple[tuple[int, int], ...]) -> bool:
-        first = self.root(spans[0][0])
-        return all(self.root(i) == first for lo, hi in spans for i in range(lo, hi))
-
-
-def trie_links(values: np.ndarray, budget: int, depth: int = 0) -> list[tuple[int, int]]:
-    """Index pairs that connect sorted distinct 64-bit values within ``budget`` bits, below ``depth`` equal bits.
-
-    A node is a range of the sorted values with its depth; a child is found by one binary search.
-    """
-    links = Links(len(values))
-    stack = [(0, len(values), 0, len(values), depth, 0)] if len(values) > 1 else []
-    while stack:
-        a, b, c, d, level, differing = stack.pop()
-        same = a == c
-        if (b - a) * (d - c) <= LEAF * LEAF:
-            near = np.bitwise_count(values[a:b, None] ^ values[None, c:d]) <= budget
-            if np.count_nonzero(near) > 4 * (b - a + d - c) and links.one_set(((a, b), (c, d))):
-                continue
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                if not same or i < j:
-                    links.link(a + i, c + j)
-            continue
-        if links.one_set(((a, b),) if same else ((a, b), (c, d))):
-            continue
-        if BITS - level + differing <= budget:
-            for i in range(a, b):
-                links.link(a, i)
-            for j in range(c, d):
-                links.link(a, j)
-            continue
-        bit = BITS - 1 - level
-        middle = []
-        for lo, hi in ((a, b), (c, d)):
-            prefix = int(values[lo]) >> bit | 1
-            middle.append(lo + int(np.searchsorted(values[lo:hi], np.uint64(prefix << bit))))
-        (m, n), below = middle, level + 1
-        lefts, rights = ((a, m), (m, b)), ((c, n), (n, d))
-        for x, (lo, hi) in enumerate(lefts):
-            for y, (low, high) in enumerate(rights):
-                if lo == hi or low == high or (same and x > y) or differing + (x != y) > budget:
-                    continue
-                stack.append((lo, hi, low, high, below, differing + (x != y)))
-    return links.found
-
-
-def star_links(values: np.ndarray, found: list[tuple[int, int]], order: np.ndarray, budget: int) -> np.ndarray:
-    """The same classes with links that other subtries are likely to make too: to the member of lowest ``order``, where that
-    is within the budget; the found link otherwise. The many choices of parts then repeat links instead of adding new ones."""
-    links = Links(len(values))
-    for i, j in found:
-        links.link(i, j)
-    members = np.unique(np.asarray(found, dtype=np.int64))
-    roots = np.asarray([links.root(i) for i in members.tolist()])
-    by = np.lexsort((order[members], roots))
-    first = np.concatenate([[True], roots[by][1:] != roots[by][:-1]])
-    centre = np.zeros(len(values), dtype=np.int64)
-    centre[members[by]] = members[by][first][np.cumsum(first) - 1]
-    close = np.zeros(len(values), dtype=bool)
-    close[members] = np.bitwise_count(values[members] ^ values[centre[members]]) <= budget
-    stars = members[close[members] & (centre[members] != members)]
-    rest = [(i, j) for i, j in found if not (close[i] and close[j])]
-    return np.concatenate([np.stack([stars, centre[stars]], axis=1), np.asarray(rest, dtype=np.int64).reshape(-1, 2)])
-
-
-def block_layout(blocks: int, budget: int) -> list[list[int]]:
-    """For each choice of ``blocks - budget`` parts, the bit order that puts them in front (bit numbers, top first)."""
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    parts = [list(range(BITS - 1 - cuts[i], BITS - 1 - cuts[i + 1], -1)) for i in range(blocks)]
-    return [[bit for i in front for bit in parts[i]] + [bit for i in range(blocks) if i not in front for bit in parts[i]] for front in combinations(range(blocks), blocks - budget)]
-
+def tries_of(budget: int) -> list[Trie]:
+    """Every pair within ``budget`` bits is within the limits of one of these."""
+    upper = budget // 2
+    lower = budget - upper - 1
+    return [Trie(0, 0, ((BITS // 2, upper), (BITS, budget)))] + ([Trie(0, BITS // 2, ((BITS // 2, lower), (BITS, budget)))] if lower >= 0 else [])
 
-def front_bits(blocks: int, budget: int) -> list[int]:
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    return [sum(cuts[i + 1] - cuts[i] for i in front) for front in combinations(range(blocks), blocks - budget)]
 
-
-def permute(values: np.ndarray, order: list[int]) -> np.ndarray:
-    out = np.zeros(len(values), dtype=np.uint64)
-    for bit in order:
-        out = (out << np.uint64(1)) | ((values >> np.uint64(bit)) & np.uint64(1))
-    return out
-
-
-def fingerprint_links(distinct: DataFrame, budget: int = BUDGET, blocks: int = BLOCKS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(u, v) fingerprints that connect the rows of ``distinct`` (column fp) within ``budget`` bits."""
-    ship(distinct.sparkSession)
-    orders, fronts = block_layout(blocks, budget), front_bits(blocks, budget)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy().view(np.uint64)
-            for table, (order, front) in enumerate(zip(orders, fronts, strict=True)):
-                turned = permute(values, order)
-                key = (turned >> np.uint64(BITS - front)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), table, dtype=np.int32)), pa.array(key), pa.array(turned.view(np.int64)), batch.column(0)], ["trie", "top", "turned", "fp"])
-
-    rows = distinct.select("fp").mapInArrow(spread, "trie int, top long, turned long, fp long")
-    # Sorted runs of one subtrie after the other: no group is built, and a lone fingerprint costs nothing.
-    ordered = rows.repartition("trie", "top").sortWithinPartitions("trie", "top")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links_of(table: int, values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            by = np.argsort(values)
-            found, named = trie_links(values[by], budget, fronts[table]), nodes[by]
-            if len(found) > 1:
-                found = star_links(values[by], found, named, budget)
-            pairs = np.asarray(found, dtype=np.int64).reshape(-1, 2)
-            u, v = named[pairs[:, 0]], named[pairs[:, 1]]
-            return np.minimum(u, v), np.maximum(u, v)
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the subtrie that the last batch ended in
-        held_key = None
-        for batch in batches:
-            table, top, turned, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            turned = turned.view(np.uint64)
-            if not len(table):
-                continue
-            cuts = [0, *(np.flatnonzero((table[1:] != table[:-1]) | (top[1:] != top[:-1])) + 1).tolist(), len(table)]
-            us, vs = [], []
-            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-                key = (int(table[a]), int(top[a]))
-                if held_key is not None and key != held_key:
-                    flush(held, held_key, links_of, us, vs)
-                    held = []
-                held_key = key
-                held.append((turned[a:b], fp[a:b]))
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-        us, vs = [], []
-        if held:
-            flush(held, held_key, links_of, us, vs)
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
-
-    def flush(held, key, links_of, us, vs) -> None:
-        if sum(len(t) for t, _ in held) > 1:
-            u, v = links_of(key[0], np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held]))
-            if len(u):
-                us.append(u)
-                vs.append(v)
-
-    return ordered.mapInArrow(join, "u long, v long")
-
-
-def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+    nodes = distinct.select(F.col("fp").alias("node"), F.col("fp").alias("word"))
+    return joined(nodes, tries_of(budget), ["word"], thin=True, min_depth=MIN_DEPTH)
 
 
-def near_duplicates(df: DataFrame, width: int = 4, budget: int = BUDGET, blocks: int = BLOCKS, min_jaccard: float | None = None, doc_id: str = "doc_id", text: str = "text", result: str = "component_id") -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = 4, budget: int = BUDGET, min_jaccard: float | None = None, doc_id: str = "doc_id", text: str = "text", result: str = "component_id") -> DataFrame:
     """``df`` without its text, with ``fp`` (long), ``body`` (a hash of the text), ``class`` (the smallest fingerprint of
     the row's class) and ``component_id`` (the smallest id of the row's class).
 
-    With ``min_jaccard``, links are all pairs of texts that share at least that of their distinct shingles, at whatever
-    distance their fingerprints are (``budget`` and ``blocks`` do not matter); ``fp`` is then a name of the set of shingles.
+    With ``min_jaccard``, rows are linked if their texts share at least that of their distinct shingles (``budget`` does not
+    matter); ``fp`` is then a name of the set of shingles.
     """
-    from tidemark.llm.alike import named_sets, similar_links
+    from tidemark.llm.alike import WORDS, similar_links, sketched
 
     source = df.drop("fp", "body", "class", result).withColumn("body", F.xxhash64(F.col(text)))
-    marked = materialize(fingerprints(source, width, text) if min_jaccard is None else named_sets(source, width, text, "fp"), "fingerprints")
+    marked = materialize(fingerprints(source, width, text) if min_jaccard is None else sketched(source, width, text, "fp"), "fingerprints")
     # Copies collapse here; the partial minimum keeps a fingerprint that a third of all rows share cheap.
-    distinct = materialize(marked.groupBy("fp").agg(F.min(F.col(doc_id).cast("long")).alias("first_id")), "distinct-fingerprints")
-    if min_jaccard is None:
-        links = fingerprint_links(distinct, budget, blocks).distinct()
-    else:
-        links = similar_links(marked, source, [doc_id, "body"], width, text, min_jaccard)
+    least = [F.min(F.col(doc_id).cast("long")).alias("first_id")]
+    if min_jaccard is not None:
+        least += [F.min(F.struct(doc_id, "body")).alias("row"), *(F.min(w).alias(w) for w in WORDS)]
+    distinct = materialize(marked.groupBy("fp").agg(*least), "distinct-fingerprints")
+    links = fingerprint_links(distinct, budget) if min_jaccard is None else similar_links(distinct, source, doc_id, text, width, min_jaccard)
     classes = connected_components(links)
     member = distinct.join(classes, distinct["fp"] == classes["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("class"))
     member = materialize(member, "fingerprint-classes")
     names = member.groupBy("class").agg(F.min("first_id").alias(result))
     named = member.join(names, "class").select(F.col("fp").alias("__fp"), "class", result)
-    return marked.join(named, marked["fp"] == named["__fp"]).drop("__fp")
+    return marked.drop(*WORDS).join(named, marked["fp"] == named["__fp"]).drop("__fp")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
