@@ -4,7 +4,7 @@ import numpy as np
 from helpers import docs, messy
 from pyspark.sql import functions as F
 
-from tidemark.llm.langid import PART, Lattice, document_languages, identify, marked, train, words_of
+from tidemark.llm.langid import Lattice, LanguageModel, Memo, document_languages, expected_uses, identify, train, words_of
 from tidemark.llm.vocabulary import vocabulary_path
 
 SAMPLES = {
@@ -38,7 +38,8 @@ def test_forward_and_expected_by_enumeration():
         for k in range(2):
             assert abs(row[k] - brute(w, table[:, k], index, lattice.unknown)) < 1e-12
     language, weight = np.asarray([0, 1, 0, 1]), np.asarray([1.0, 2.0, 3.0, 4.0])
-    keys, uses = lattice.expected(words, language, weight, table)
+    keys, uses, likelihood = lattice.expected(words, language, weight, table)
+    assert abs(likelihood - sum(w * np.log(row[k]) for w, k, row in zip(weight, language, got, strict=True))) < 1e-9
     sums = np.bincount(keys, weights=uses, minlength=16)
     # Moving one log probability moves the log-likelihood by the expected uses.
     for key in range(12):
@@ -57,10 +58,47 @@ def test_crowded_slots_are_found():
         assert found == {(i, j): word[i:j] for i in range(4) for j in range(i + 1, 5) if word[i:j] in set(pieces)}
 
 
+def test_long_words_are_summed_whole():
+    """The rescaled sums of one word equal those of many words at a time, also beyond the length that those take."""
+    pieces = ["▁", "a", "b", "ab", "ba", "aba", "c"]
+    lattice, rng = Lattice(pieces), random.Random(2)
+    table = np.random.default_rng(1).random((len(pieces) + 2, 2)) / 4
+    table[-1] = 0
+    for n in (1, 2, 5, 20):
+        word = "▁" + "".join(rng.choices("abcx", k=n))
+        assert np.allclose(np.exp(lattice.log_forward(word, table)), lattice.forward([word], table)[0])
+        keys, uses, _ = lattice.expected([word], np.asarray([1]), np.asarray([3.0]), table)
+        long_keys, long_uses, likelihood = lattice.long_expected(word, 1, 3.0, table)
+        assert np.allclose(np.bincount(keys, weights=uses, minlength=18), np.bincount(long_keys, weights=long_uses, minlength=18))
+        assert abs(likelihood - 3 * lattice.log_forward(word, table)[1]) < 1e-9
+    word = "ab" * 2000
+    # One character more multiplies the sum by about the same factor everywhere: no cut, no underflow.
+    assert np.all(np.isfinite(lattice.log_forward("▁" + word, table)))
+    sums, _ = expected_uses(lattice, [(0, word, 1)], table)
+    lengths = np.asarray([len(x) for x in pieces] + [1, 0])
+    assert abs((sums.reshape(table.shape)[:, 0] * lengths).sum() - len(word) - 1) < 1e-6
+
+
+def test_memo_is_bounded(monkeypatch):
+    model = LanguageModel(["x", "y"], ["a", "b", "ab"], np.full((5, 2), 0.2), np.zeros(2))
+    texts = [" ".join("".join(random.Random(i).choices("ab", k=12)) for _ in range(5)) for i in range(200)]
+    want = list(model.predict(texts))
+    monkeypatch.setattr("tidemark.llm.langid.MEMO_BYTES", 2000)
+    monkeypatch.setattr("tidemark.llm.langid.PIECE_CHARS", 100)
+    other = LanguageModel(model.languages, model.pieces, model.table, model.log_prior)
+    memo = Memo(other)
+    assert [x for i in range(0, 200, 10) for x in other._predict(texts[i : i + 10], memo)] == want
+    assert memo.size <= 2000 and len(memo.known) < 20
+
+
+def test_ties_go_to_the_first_language():
+    model = LanguageModel(["x", "y"], ["a", "b"], np.full((4, 2), 0.25), np.log([0.5, 0.5]))
+    assert list(model.predict(["ab ba"])) == [("x", 0.5)]
+
+
 def test_words():
-    assert [marked(w) for w in words_of("Ab,  cD")] == ["▁ab", "▁cd"]
-    parts = [marked(w) for w in words_of("x" * 60 + " a\0b")]
-    assert all(len(p) <= PART + 1 for p in parts) and "".join(parts) == "▁" + "x" * 60 + "▁ab"
+    assert words_of("Ab,  cD") == ["ab", "cd"]
+    assert words_of("x" * 60 + " a\0b") == ["x" * 60, "a\0b"]
 
 
 def _rows(spark):
@@ -89,7 +127,7 @@ def test_prediction_sees_the_text_only(spark):
 
 def test_messy(spark):
     model = train(_rows(spark), vocabulary_path("piece_bpe_32k.model"))
-    assert identify(messy(spark).withColumn("score", F.lit("x")), model).count() == 9
+    assert identify(messy(spark).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("x")), model).filter("lang_pred <> 'x'").count() == 9
     assert identify(docs(spark, []), model).count() == 0
     none = train(spark.createDataFrame([], "doc_id long, text string, lang string"), vocabulary_path("piece_bpe_32k.model"))
     assert [r["lang_pred"] for r in identify(docs(spark, [(1, "the")]), none).collect()] == ["und"]

@@ -6,9 +6,11 @@ give the expected uses of each piece. A text's likelihood is the product over it
 sum, so no single segmentation is chosen. The prediction is the language of the highest posterior
 (with the training share as prior); the score is that posterior.
 
-Words are separated by white space and common punctuation and lower-cased, with the vocabulary's word mark in front. Words longer
-than ``PART`` characters are cut every ``PART``, so that a text of any length costs a bounded sum per character;
-characters outside the vocabulary are single unknown pieces.
+Words are separated by white space and common punctuation and lower-cased, with the vocabulary's word mark in front. Characters
+outside the vocabulary are single unknown pieces. Words of up to ``SHORT`` characters are summed many at a time; longer ones, however
+long, one at a time with a rescaled sum that looks back as far as the longest piece, so the cost of a character is bounded.
+
+EM ends when a round raises the mean log-likelihood of a word by less than ``GAIN``, or after ``rounds``.
 
 What is learned grows with the corpus: word counts of all training rows, combined per Arrow batch before
 the shuffle. Only (piece, language) sums reach the driver: vocabulary size times languages.
@@ -21,6 +23,7 @@ rows are predicted alike; other columns pass through, those named like a result
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -32,16 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.worker import held
 from tidemark.runtime import materialize, ship
 
 MARK = "▁"
-PART = 24
-MEMO_WORDS = 700_000
+SHORT = 24
+GAIN = 0.15
+MEMO_BYTES = 80 << 20
+ENTRY_BYTES = 130  # of a word's place in the memo, besides the word itself and its scores
 PUNCTUATION = ".,!?;:\"|()"
 UND = "und"
 PIECE_CHARS = 1 << 20
-_LATTICE: dict = {}
-_MEMO: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -54,21 +58,12 @@ def vocabulary_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Words, the long ones in parts. Common punctuation is no part of a word. A part that continues a word begins
-    with a null character; all others are to be read with the word mark in front (``marked``)."""
+    """Words; common punctuation is no part of one."""
     text = text.lower()
     for c in PUNCTUATION:
         if c in text:
             text = text.replace(c, " ")
-    out = text.split()
-    if max(map(len, out), default=0) > PART or "\0" in text:
-        out = [w.replace("\0", "") for w in out]
-        return ["\0" * (i > 0) + w[i : i + PART] for w in out for i in range(0, len(w), PART)]
-    return out
-
-
-def marked(word: str) -> str:
-    return word[1:] if word[0] == "\0" else MARK + word
+    return text.split()
 
 
 class Lattice:
@@ -83,8 +78,9 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.number = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
-        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PART + 2, self.BASE)]), dtype=np.uint64)
+        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(SHORT + 2, self.BASE)]), dtype=np.uint64)
         self.hashes = np.zeros(len(pieces) + 2, dtype=np.uint64)
         for i, p in enumerate(pieces):
             self.hashes[i] = self._prefixes(self._codes([p]))[0, -1]
@@ -140,8 +136,49 @@ class Lattice:
             alpha[j][rows] += alpha[i][rows] * table[ids]
         return alpha[-1]
 
-    def expected(self, words: list[str], language: np.ndarray, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(flat piece * languages + language, expected uses) of words that each belong to one language."""
+    def spans_of(self, word: str) -> list[list[tuple[int, int]]]:
+        """For each end (from 1), the (begin, piece) of the pieces that end there, in a word of any length."""
+        number, longest = self.number.get, self.longest
+        out = []
+        for j in range(1, len(word) + 1):
+            here = [(i, p) for i in range(max(0, j - longest), j - 1) if (p := number(word[i:j])) is not None]
+            out.append([*here, (j - 1, number(word[j - 1], self.unknown))])
+        return out
+
+    def log_forward(self, word: str, table: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum for every language, of one word of any length: rescaled at every character."""
+        back = [np.ones(table.shape[1])]  # sums up to the last characters, all in one scale
+        scale = np.zeros(table.shape[1])
+        for j, spans in enumerate(self.spans_of(word), 1):
+            total = np.zeros(table.shape[1])
+            for i, piece in spans:
+                total += back[i - j] * table[piece]
+            factor = np.maximum(total, 1e-300)
+            back = [x / factor for x in back[-self.longest + 1 :]] + [total / factor]
+            scale += np.log(factor)
+        return scale
+
+    def long_expected(self, word: str, language: int, weight: float, table: np.ndarray) -> tuple[list[int], list[float], float]:
+        """(flat keys, expected uses, log-likelihood) of one word of any length, with the sums rescaled at every character."""
+        spans, width, flat = self.spans_of(word), table.shape[1], table.reshape(-1)
+        alpha, factors = [1.0], []  # alpha[i] times the product of the factors up to i is the sum
+        for j, here in enumerate(spans, 1):
+            total = 0.0
+            for i, piece in here:
+                total += alpha[i] * float(flat[piece * width + language]) / math.prod(factors[i:])
+            factors.append(max(total, 1e-300))
+            alpha.append(total / factors[-1])
+        beta, keys, uses = [0.0] * len(word) + [1.0], [], []
+        for j in range(len(word), 0, -1):
+            for i, piece in spans[j - 1]:
+                through = float(flat[piece * width + language]) * beta[j] / math.prod(factors[i:j])
+                beta[i] += through
+                keys.append(piece * width + language)
+                uses.append(weight * alpha[i] * through)
+        return keys, uses, weight * sum(map(math.log, factors))
+
+    def expected(self, words: list[str], language: np.ndarray, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(flat piece * languages + language, expected uses), and the log-likelihood, of words that each belong to one language."""
         n, spans, width = len(words[0]), self.spans(words), table.shape[1]
         flat = table.reshape(-1)
         keys = [ids.astype(np.int64) * width + language[rows] for _, _, rows, ids in spans]
@@ -155,7 +192,8 @@ class Lattice:
             through = q * beta[j][rows]
             beta[i][rows] += through
             uses.append(alpha[i][rows] * through)
-        return np.concatenate(keys), np.concatenate(uses[::-1])
+        uses.reverse()
+        return np.concatenate(keys), np.concatenate(uses), float(weight @ np.log(np.maximum(alpha[n], 1e-300)))
 
 
 @dataclass(frozen=True)
@@ -167,59 +205,71 @@ class LanguageModel:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
-        if self.key not in _MEMO:
-            _MEMO.clear()  # one model at a time
-            _MEMO[self.key] = ({}, np.zeros((1024, len(self.languages)), dtype=np.float32))
+        memo = held(("language", self.key), lambda: Memo(self))
         piece: list[str | None] = []
         size = 0
         for text in texts:
             piece.append(text)
             size += len(text or "")
             if size > PIECE_CHARS:
-                yield from self._predict(piece)
+                yield from self._predict(piece, memo)
                 piece, size = [], 0
-        yield from self._predict(piece)
+        yield from self._predict(piece, memo)
 
-    def _predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+    def _predict(self, texts: list[str | None], memo: Memo) -> Iterator[tuple[str, float]]:
         split = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-        known, scores = _MEMO[self.key]
-        used = len(known)
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words)
-        if new := seen.difference(known):
-            if used + len(new) > len(scores):
-                scores = np.concatenate([scores, np.zeros((max(len(scores), len(new)), scores.shape[1]), dtype=np.float32)])
-            lattice, at = _lattice(self.pieces), used
-            for part in by_length(new):
-                scores[at : at + len(part)] = np.log(np.maximum(lattice.forward([marked(w) for w in part], self.table), 1e-300))
-                known.update(zip(part, range(at, at + len(part)), strict=True))
-                at += len(part)
-            _MEMO[self.key] = (known, scores)
+        memo.learn({w for words in split for w in words})
+        place = memo.known.__getitem__
         for words in split:
             if not words or not self.languages:
                 yield UND, 0.0
                 continue
-            total = scores[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64) + self.log_prior
+            total = memo.scores[np.fromiter(map(place, words), dtype=np.int64, count=len(words))].sum(axis=0, dtype=np.float64) + self.log_prior
             best = int(total.argmax())
             yield self.languages[best], float(1 / np.exp(total - total[best]).sum())
-        if len(known) > MEMO_WORDS:  # what came last goes: the early words are the frequent ones
-            for _ in range(len(known) - min(used, MEMO_WORDS)):
-                known.popitem()
-
-
-def _lattice(pieces: list[str]) -> Lattice:
-    """The worker's lattice; one is kept, since the pieces are the same for all models of a vocabulary."""
-    if _LATTICE.get("size") != len(pieces) or _LATTICE.get("last") != pieces[-1:]:
-        _LATTICE.update(size=len(pieces), last=pieces[-1:], lattice=Lattice(pieces))
-    return _LATTICE["lattice"]
+        memo.forget()
+
+
+class Memo:
+    """A worker's scores of words under one model, bounded in bytes: once full, new words are forgotten again."""
+
+    def __init__(self, model: LanguageModel):
+        self.table, self.lattice = model.table, Lattice(model.pieces)
+        self.known: dict[str, int] = {}
+        self.scores = np.zeros((1024, model.table.shape[1]), dtype=np.float32)
+        self.size = self.before = 0
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        self.before = at = len(self.known)
+        if at + len(new) > len(self.scores):
+            more = np.zeros((at + len(new) + len(self.scores) // 4, self.scores.shape[1]), dtype=np.float32)
+            more[:at] = self.scores[:at]
+            self.scores = more
+        for part in by_length(w for w in new if len(w) < SHORT):
+            self.scores[at : at + len(part)] = np.log(np.maximum(self.lattice.forward([MARK + w for w in part], self.table), 1e-300))
+            self.known.update(zip(part, range(at, at + len(part)), strict=True))
+            at += len(part)
+        for w in new:
+            if len(w) >= SHORT:
+                self.scores[at] = self.lattice.log_forward(MARK + w, self.table)
+                self.known[w] = at
+                at += 1
+        self.size += sum(map(self._bytes, new))
+
+    def _bytes(self, word: str) -> int:
+        return ENTRY_BYTES + sys.getsizeof(word) + 4 * self.scores.shape[1]
+
+    def forget(self) -> None:
+        while self.size > MEMO_BYTES and len(self.known) > self.before:  # what came last goes: the early words are the frequent ones
+            self.size -= self._bytes(self.known.popitem()[0])
 
 
 def by_length(words: Iterable[str], most: int = 4_000) -> Iterator[list[str]]:
-    """Words of equal length once marked, some at a time."""
+    """Words of equal length, some at a time."""
     groups: dict[int, list[str]] = defaultdict(list)
     for w in words:
-        groups[len(w) - 2 * (w[0] == "\0")].append(w)
+        groups[len(w)].append(w)
     for group in groups.values():
         for at in range(0, len(group), most):
             yield group[at : at + most]
@@ -240,7 +290,27 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", rounds: int = 2, smoothing: float = 0.1) -> LanguageModel:
+def expected_uses(lattice: Lattice, rows: Iterable[tuple[int, str, int]], table: np.ndarray) -> tuple[np.ndarray, float]:
+    """(expected uses by flat key, log-likelihood) of (language, word, count) rows under ``table``."""
+    sums, likelihood = np.zeros(table.size), 0.0
+    groups: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
+    for language, word, n in rows:
+        if len(word) < SHORT:
+            groups[len(word)].append((MARK + word, language, n))
+        else:
+            keys, uses, gain = lattice.long_expected(MARK + word, language, n, table)
+            np.add.at(sums, keys, uses)
+            likelihood += gain
+    for group in groups.values():
+        for at in range(0, len(group), 4_000):
+            words, which, weight = zip(*group[at : at + 4_000], strict=True)
+            keys, uses, gain = lattice.expected(list(words), np.asarray(which), np.asarray(weight, dtype=float), table)
+            sums += np.bincount(keys, weights=uses, minlength=table.size)
+            likelihood += gain
+    return sums, likelihood
+
+
+def train(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", rounds: int = 8, gain: float = GAIN, smoothing: float = 0.1) -> LanguageModel:
     """Piece probabilities by EM over the word counts of all rows of ``df`` that have a language."""
     ship(df.sparkSession)
     pieces = vocabulary_pieces(vocabulary)
@@ -252,29 +322,32 @@ def train(df: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang"
     if not languages:
         return LanguageModel([], pieces, table, np.zeros(0))
     counts = materialize(word_counts(df, text, lang), "word-counts")
+    words = max(1, counts.agg(F.sum("n")).first()[0] or 0)
+    key, before = uuid.uuid4().hex, -math.inf
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], table: np.ndarray = table) -> Iterator[pa.RecordBatch]:
-            lattice, sums = _lattice(pieces), np.zeros(table.size)
+            lattice = held(("lattice", key), lambda: Lattice(pieces))
+            sums, likelihood = np.zeros(table.size), 0.0
             for batch in batches:
-                rows: dict[int, list[tuple[str, int, int]]] = defaultdict(list)
-                for language, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    word = marked(word)
-                    rows[len(word)].append((word, number[language], n))
-                for group in rows.values():
-                    for at in range(0, len(group), 4_000):
-                        words, which, weight = zip(*group[at : at + 4_000], strict=True)
-                        keys, uses = lattice.expected(list(words), np.asarray(which), np.asarray(weight, dtype=float), table)
-                        np.add.at(sums, keys, uses)
+                some, part = expected_uses(lattice, ((number[x], w, n) for x, w, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)), table)
+                sums += some
+                likelihood += part
             at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.float64())], ["key", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([likelihood, *sums[at].tolist()], pa.float64())], ["key", "uses"])
 
-        learned = np.zeros(table.size)
+        learned, now = np.zeros(table.size), 0.0
         for r in counts.mapInArrow(expect, "key long, uses double").groupBy("key").agg(F.sum("uses").alias("uses")).collect():
-            learned[r["key"]] = r["uses"]
+            if r["key"] < 0:
+                now = r["uses"] / words
+            else:
+                learned[r["key"]] = r["uses"]
         learned = learned.reshape(table.shape) + smoothing
         learned[-1] = 0.0
         table = learned / learned.sum(axis=0)
+        if now - before < gain:
+            break
+        before = now
     total = sum(shares.values())
     return LanguageModel(languages, pieces, table, np.asarray([math.log(shares[x] / total) for x in languages]))
 
