@@ -15,7 +15,7 @@ from tidemark.plans import queries as q
 from tidemark.plans import registry
 from tidemark.sources import log
 from tidemark.sources.events import auctions, bids
-from tidemark.sources.generator import closing_bids, generate
+from tidemark.sources.generator import closing_bids, generate, generate_stream
 
 L = 10_000
 BIDS = "partition long, offset long, t long, auction long, bidder long, price long"
@@ -123,6 +123,78 @@ def test_routing_results_and_inspection(spark):
     assert '"assign"' not in log.kafka_options("h:1", "in", [0, 1])["assign"] and log.kafka_options("h:1", "in", [0], {0: 7})["startingOffsets"] == '{"in": {"0": 7}}'
 
 
+class Report:
+    """What a query's progress says of one Kafka source."""
+
+    def __init__(self, latest, end):
+        self.latestOffset, self.endOffset, self.sources = latest, end, [self]
+
+    @property
+    def lastProgress(self):  # noqa: N802
+        return self if self.latestOffset != "none" else None
+
+
+def test_lag_of_a_stream():
+    assert log.lag_of(Report('{"in": {"0": 120, "1": 7}}', '{"in": {"0": 100, "1": 7}}')) == {("in", 0): 20, ("in", 1): 0}
+    assert log.lag_of(Report('{"in": {"0": 5}}', None)) == {("in", 0): 5}
+    assert log.lag_of(Report(None, '{"in": {"0": 5}}')) == {} and log.lag_of(Report('{"logOffset": 3}', '{"logOffset": 3}')) == {} and log.lag_of(Report("none", None)) == {}
+    assert log.positions(Report(None, '{"in": {"0": 5}}')) == ['{"in": {"0": 5}}']
+
+
+def test_lag_of_tables(spark):
+    held = spark.createDataFrame([(p, o) for p, n in ((0, 10), (1, 5), (2, 3)) for o in range(n)], "partition int, offset long")
+    consumed = spark.createDataFrame([(0, 4), (1, 5), (2, 9)], "partition int, next long")
+    assert {r["partition"]: r["lag"] for r in log.lags(held, consumed).collect()} == {0: 6, 1: 0, 2: 0}
+    assert {r["partition"]: r["lag"] for r in log.lags(held, consumed.limit(0)).collect()} == {0: 10, 1: 5, 2: 3}
+
+
+def test_file_log_positions_and_appending(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    events = generate(spark, 8_000, 4)
+    log.write_log(log.as_records(log.encode_json(events.filter("offset < 5000")), order=("offset",)), path)
+    held = {r["partition"]: r["last"] for r in spark.read.parquet(path).groupBy("partition").agg(F.max("offset").alias("last")).collect()}
+    log.write_log(log.as_records(log.encode_json(events.filter("offset >= 5000")), held, order=("offset",)), path)
+    options = log.kafka_options("none", "in", [0, 2], {2: 100})
+    found = log.read_log(spark, options, streaming=False, path=path).collect()
+    sizes = {r["partition"]: r["n"] for r in events.groupBy("partition").agg(F.count("*").alias("n")).collect()}
+    by = {p: sorted(r["offset"] for r in found if r["partition"] == p) for p in (0, 1, 2)}
+    assert by == {0: list(range(sizes[0])), 1: [], 2: list(range(100, sizes[2]))}
+    assert sorted(r["n"] for r in spark.read.parquet(path).groupBy("partition", "offset").agg(F.count("*").alias("n")).select("n").distinct().collect()) == [1]
+
+
+def test_kafka_sinks_need_servers_and_topic(spark):
+    stream = generate_stream(spark, 10).select("offset")
+    with pytest.raises(ValueError, match="topic"):
+        log.write_results(stream, None, "unused", fmt="kafka", options={"kafka.bootstrap.servers": "h:1"})
+
+
+def test_generated_stream(spark, tmp_path):
+    query = generate_stream(spark, 2_000, 4).writeStream.format("memory").queryName("made").option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        for _ in range(60):
+            query.processAllAvailable()
+            if spark.table("made").count() >= 100:
+                break
+        rows = spark.table("made").filter("offset < 100").select("offset", "event_type", "t", "partition", "bid").collect()
+    finally:
+        query.stop()
+    want = {r["offset"]: r for r in generate(spark, 100, 4).select("offset", "event_type", "t", "partition", "bid").collect()}
+    assert len(rows) == 100 and all(r == want[r["offset"]] for r in rows)
+
+
+def test_output_rows_codec_drops_what_does_not_parse(spark):
+    rows = spark.createDataFrame([(7, 100, 3, "1", 1, "x", 9)], "auction long, price long, bidder long, dateTime string, timestamp long, extra string, append_ts long")
+    records = log.encode_output_rows(rows)
+    broken = records.withColumn("value", F.encode(F.lit("{"), "UTF-8"))
+    assert [tuple(r) for r in log.decode_output_rows(records.unionByName(broken)).collect()] == [(7, 100, 3, "1", 1, "x", 9)]
+
+
+def test_notices_of_order(spark):
+    rows = spark.createDataFrame([(0, 0, 5), (0, 1, 25_000), (0, 2, 24_000), (1, 0, 5), (1, 1, 10_001)], "partition long, offset long, t long")
+    assert [tuple(r) for r in latency.out_of_order(rows).collect()] == [(0, 1)]
+    assert [tuple(r) for r in latency.skipped_windows(rows, L).collect()] == [(0, 1, 1, 3)]
+
+
 def test_sampling_and_reports(spark):
     events = generate(spark, 40_000, 2)
     assert 50 < latency.pass_through_sample(events).count() < 160
@@ -155,13 +227,26 @@ def test_control_plane_cases(spark):
     assert cluster.node_with_most_lag(table([(0, 10), (1, 20), (2, 19)], "node_id int, lag long")).first()[0] == 1
     assert cluster.node_with_most_lag(table([], "node_id int, lag long")).count() == 0
     assert cluster.total_lag(lags([(0, 10), (1, 20), (2, 15)])).first()[0] == 45 and cluster.total_lag(lags([])).first()[0] == 0
-    beats = table([(1, 0)], "node_id int, ts long")
-    assert cluster.failed_nodes(beats, 10_000, 1_000).count() == 1
-    assert cluster.failed_nodes(beats, 1_000, 1_000).count() == 0 and cluster.failed_nodes(beats, 10_000, 1_000, started=False).count() == 0
+    beats, nodes = table([(1, 0)], "node_id int, ts long"), table([(1,), (2,)], "node_id int")
+    failed = lambda now, started=0, last_check=None, b=beats: sorted(r[0] for r in cluster.failed_nodes(b, nodes, now, 1_000, started, last_check).collect())
+    assert failed(10_000) == [1, 2]  # node 2 never beat: it had until the start and two thresholds
+    assert failed(1_001) == [1] and failed(1_000) == [] and failed(2_000) == [1]
+    assert failed(10_000, started=None) == []
+    assert failed(10_000, last_check=9_000) == [] and failed(10_000, last_check=8_999) == [1, 2]
+    assert failed(10_000, started=9_500) == []  # a beat before the start does not count: both have until 11,500
+    assert failed(10_000, b=table([(1, 10_000), (7, 0)], "node_id int, ts long")) == [2, 7]
     asked = lambda rows: table([(r,) for r in rows], "partition int")
     give = lambda a, rows: sorted(r[0] for r in cluster.hand_over(asked(a), lags(rows)).collect())
     assert give([], [(0, 3), (1, 9)]) == [1] and give([], [(0, 0), (1, 0)]) == [] and give([], [(0, 5)]) == []
     assert give([0], [(0, 3), (1, 9)]) == [0] and give([0, 1], [(0, 3), (1, 9)]) == []
+    assert give([99], [(0, 3), (1, 9)]) == [] and give([99, 1], [(0, 3), (1, 9), (2, 0)]) == [1] and give([98, 99], [(0, 3), (1, 9)]) == []
+    held, arrived = table([(0, 0, 0), (1, 0, 0), (2, 1, 0)], MAP), table([(0, 1, 4), (1, 1, 4), (2, 1, 4)], MAP)
+    assert [r[0] for r in cluster.dropped(held, arrived, 0).collect()] == [0]  # the last one is kept
+    assert sorted(map(tuple, cluster.settled(held, arrived, 0, 9).collect())) == [(0, 1, 4), (1, 0, 9), (2, 1, 4)]
+    gaining = table([(0, 1, 4), (1, 1, 4), (2, 0, 4)], MAP)
+    assert sorted(r[0] for r in cluster.dropped(held, gaining, 0).collect()) == [0, 1]  # it has another one now
+    assert cluster.dropped(held, held, 0).count() == 0
+    assert sorted(map(tuple, cluster.set_owner(held, table([(1,), (5,)], "partition int"), 3, 7).collect())) == [(0, 0, 0), (1, 3, 7), (2, 1, 0), (5, 3, 7)]
     assert cluster.others_messages(table([(0,), (1,)], "sender_id int"), 0).count() == 1
 
 

@@ -25,9 +25,10 @@ class MergeableAggregate:
     combine: dict[str, Callable[[], Column]]
     value: Callable[[DataFrame], DataFrame]
 
-    def partials(self, events: DataFrame, length_ms: int, by: tuple[str, ...] = ("partition",)) -> DataFrame:
+    def partials(self, events: DataFrame, length_ms: int, by: tuple[str, ...] = ("partition",), extra: dict[str, Column] | None = None) -> DataFrame:
+        """One state per key of ``by``, window and own key; ``extra`` are further aggregates of the same groups."""
         windowed = events.withColumn("w", window_id(F.col("t"), length_ms))
-        return windowed.groupBy(*by, "w", *self.keys).agg(*(f().alias(n) for n, f in self.update.items()))
+        return windowed.groupBy(*by, "w", *self.keys).agg(*(f().alias(n) for n, f in self.update.items()), *(c.alias(n) for n, c in (extra or {}).items()))
 
     def merge(self, partials: DataFrame) -> DataFrame:
         return partials.groupBy("w", *self.keys).agg(*(f().alias(n) for n, f in self.combine.items()))

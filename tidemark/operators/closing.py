@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import window_id
@@ -13,6 +13,17 @@ def vector_clock(events: DataFrame, by: tuple[str, ...] = ("partition",)) -> Dat
     return events.groupBy(*by).agg(F.max("t").alias("clock"))
 
 
+def clock_array(clocks: DataFrame, n_partitions: int) -> DataFrame:
+    """One row: the clocks as an array by partition, 0 where a partition has none."""
+    entry = lambda p: F.coalesce(F.max(F.when(F.col("partition") == p, F.col("clock"))), F.lit(0))
+    return clocks.agg(F.array(*(entry(p) for p in range(n_partitions))).alias("clock"))
+
+
+def merge_clock_arrays(a: Column, b: Column) -> Column:
+    """The later time of each partition."""
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y))
+
+
 def last_closed(clocks: list[DataFrame], length_ms: int, n_partitions: int) -> DataFrame:
     """One row: the highest window that every partition of every aggregate has left behind by two.
 

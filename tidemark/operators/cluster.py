@@ -38,12 +38,52 @@ def to_release(current: DataFrame, new: DataFrame, me: int) -> DataFrame:
     return _side_by_side(current, new, "inner").filter((F.col("old_node") == me) & (F.col("node_id") != me) & (F.col("version") > F.col("old_version"))).select("partition")
 
 
+def initial_ownership(partitions: DataFrame, per_node: int) -> DataFrame:
+    """Consecutive partitions go to the same node, ``per_node`` each, at version 0."""
+    node = F.call_function("div", F.col("partition").cast("long"), F.lit(per_node).cast("long")).cast("int")
+    return partitions.select("partition", node.alias("node_id"), F.lit(0).cast("long").alias("version"))
+
+
+def set_owner(ownership: DataFrame, partitions: DataFrame, node_id: int, version: int) -> DataFrame:
+    """The partitions' entries replaced by ``node_id`` at ``version`` (the control log's offset), whatever they were."""
+    others = ownership.join(partitions.select("partition"), "partition", "left_anti")
+    mine = partitions.select("partition", F.lit(node_id).cast(ownership.schema["node_id"].dataType).alias("node_id"), F.lit(version).cast(ownership.schema["version"].dataType).alias("version"))
+    return others.unionByName(mine)
+
+
+def dropped(current: DataFrame, new: DataFrame, me: int) -> DataFrame:
+    """What a node lets go of when a new map arrives: all that it has to release but, if nothing would be left to it, the
+    highest of those."""
+    release = to_release(current, new, me)
+    held = current.filter(F.col("node_id") == me).select("partition").unionByName(newly_owned(current, new, me)).distinct()
+    all_of_them = release.agg(F.count("*")).scalar() == held.agg(F.count("*")).scalar()
+    return release.filter(~(all_of_them & (F.col("partition") == release.agg(F.max("partition")).scalar())))
+
+
+def settled(current: DataFrame, new: DataFrame, me: int, version: int) -> DataFrame:
+    """The map after a new one has arrived: merged, and a partition that was kept is the node's own again, at ``version``."""
+    kept = to_release(current, new, me).join(dropped(current, new, me), "partition", "left_anti")
+    return set_owner(merge_ownership(current, new), kept, me, version)
+
+
 def latest_heartbeats(beats: DataFrame) -> DataFrame:
     return beats.groupBy("node_id").agg(F.max("ts").alias("ts"))
 
 
-def failed_nodes(beats: DataFrame, now: int, threshold_ms: int, started: bool = True) -> DataFrame:
-    return latest_heartbeats(beats).filter(F.lit(started) & (F.lit(now) - F.col("ts") > threshold_ms)).select("node_id")
+def last_seen(beats: DataFrame, nodes: DataFrame, started: int, threshold_ms: int) -> DataFrame:
+    """(node_id, ts) of every node: its latest beat since ``started``, or ``started`` plus the threshold if there is none. Beats
+    of nodes that are not in the list count too."""
+    seeds = nodes.select("node_id", F.lit(started + threshold_ms).cast("long").alias("seed"))
+    since = latest_heartbeats(beats.filter(F.col("ts") >= started))
+    return seeds.join(since, "node_id", "full").select("node_id", F.coalesce("ts", "seed").alias("ts"))
+
+
+def failed_nodes(beats: DataFrame, nodes: DataFrame, now: int, threshold_ms: int, started: int | None, last_check: int | None = None) -> DataFrame:
+    """Nodes that have been silent for more than the threshold. None before checking has ``started``, nor within a
+    threshold of the ``last_check``."""
+    if started is None or (last_check is not None and now - last_check <= threshold_ms):
+        return nodes.select("node_id").limit(0)
+    return last_seen(beats, nodes, started, threshold_ms).filter(F.lit(now) - F.col("ts") > threshold_ms).select("node_id")
 
 
 def newly_failed(failed: DataFrame, known: DataFrame) -> DataFrame:
@@ -72,12 +112,13 @@ def partition_with_most_lag(lags: DataFrame) -> DataFrame:
 
 
 def hand_over(requested: DataFrame, lags: DataFrame) -> DataFrame:
-    """Partitions to give away: those asked for or, if none are, the one with most lag. Nothing at all if
-    no partition lags, or if as many as are owned would go. ``lags`` holds the owned partitions."""
+    """Partitions to give away. Asked for none in particular: the one with most lag, if it lags at all. Nothing if as many are
+    asked for as are owned, so that one always stays; of the others those that are owned. ``lags`` holds the owned partitions."""
     asked = requested.agg(F.count("*")).scalar()
-    owned = lags.filter(F.col("partition") >= 0).agg(F.count("*")).scalar()
-    stolen = partition_with_most_lag(lags).filter((F.col("lag") > 0) & (asked == 0) & (owned != 1)).select("partition")
-    return requested.select("partition").filter(asked != owned).unionByName(stolen)
+    owned = lags.filter(F.col("partition") >= 0).select("partition")
+    number = owned.agg(F.count("*")).scalar()
+    stolen = partition_with_most_lag(lags).filter((F.col("lag") > 0) & (asked == 0) & (number != 1)).select("partition")
+    return requested.select("partition").filter(asked != number).join(owned, "partition", "left_semi").unionByName(stolen)
 
 
 def others_messages(messages: DataFrame, me: int) -> DataFrame:

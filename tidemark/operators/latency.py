@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import scaled_window_id, window_id
@@ -13,6 +13,11 @@ def finished(report: DataFrame) -> DataFrame:
     return report.filter(F.col("w") < report.agg(F.max("w") - 1).scalar())
 
 
+def in_order(report: DataFrame) -> DataFrame:
+    """A report as it is read: by window. One row per window, so the sort is small."""
+    return report.orderBy("w")
+
+
 def input_completion(records: DataFrame, length_ms: int, per_partition: bool = False, type_column: str = "event_type", scale: int = 1) -> DataFrame:
     """Latest append time of the bids of each window. The type is tested by substring."""
     w = scaled_window_id(F.col("t"), length_ms, scale) if scale > 1 else window_id(F.col("t"), length_ms)
@@ -40,5 +45,20 @@ def pass_through_sample(events: DataFrame, one_in: int = 400, deterministic: Col
 
 
 def sample_ids(samples: DataFrame) -> DataFrame:
-    """Each sampled record gets a random identifier to follow it by."""
-    return samples.withColumn("uuid", F.uuid())
+    """Each sampled record gets a random identifier to follow it by, and the time at which it was seen."""
+    return samples.withColumns({"uuid": F.uuid(), "seen_at": F.unix_millis(F.current_timestamp())})
+
+
+def out_of_order(events: DataFrame) -> DataFrame:
+    """(partition, n): events older than one that came before them in their partition."""
+    before = Window.partitionBy("partition").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    late = events.withColumn("newest", F.max("t").over(before)).filter(F.col("t") < F.col("newest"))
+    return late.groupBy("partition").agg(F.count("*").alias("n"))
+
+
+def skipped_windows(events: DataFrame, length_ms: int) -> DataFrame:
+    """(partition, offset, from_w, to_w): where a partition's clock jumped by more than one window."""
+    before = Window.partitionBy("partition").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    clock = events.withColumn("newest", F.max("t").over(before)).filter(F.col("newest").isNotNull())
+    jumps = clock.select("partition", "offset", window_id(F.col("newest"), length_ms).alias("from_w"), window_id(F.col("t"), length_ms).alias("to_w"))
+    return jumps.filter(F.col("to_w") - F.col("from_w") > 1)

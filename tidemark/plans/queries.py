@@ -34,6 +34,12 @@ def q4_average_by_category(events: DataFrame, length_ms: int) -> DataFrame:
     return best.join(made, ["w", "auction"]).groupBy("w", "category").agg(F.avg("m").alias("avg_price"))
 
 
+def average_of_states(states: dict[str, DataFrame]) -> DataFrame:
+    """The same from merged states: ``m`` by (w, auction), ``c`` by (w, auction, category)."""
+    best, made = HIGHEST_PER_AUCTION.value(states["m"]), AUCTION_CATEGORIES.value(states["c"])
+    return best.join(made, ["w", "auction"]).groupBy("w", "category").agg(F.avg("m").alias("avg_price"))
+
+
 def q5_top_auction(events: DataFrame, length_ms: int) -> DataFrame:
     return windowed(bids(events), BIDS_PER_AUCTION, length_ms)
 
@@ -90,6 +96,26 @@ def stream_q7(bid_stream: DataFrame, length_ms: int) -> DataFrame:
     )
 
 
+def stream_q7_join(bid_stream: DataFrame, again: DataFrame, length_ms: int, delay_ms: int = 4) -> DataFrame:
+    """The joined form on a stream: windows closed on the left, one clock for all partitions, a watermark delay of ``delay_ms`` of
+    event time. A window's maximum is emitted when the watermark has passed its end; the bids wait for it as join state.
+
+    ``again`` is the same stream, read a second time for the maxima. A bid on a boundary is also in the closed range of the window before.
+    """
+    size, delay = f"{length_ms} milliseconds", f"{delay_ms} milliseconds"
+    timed = lambda s: s.withColumn("et", event_time(F.col("t"))).withWatermark("et", delay)
+    best = timed(again).groupBy(F.window("et", size).alias("window")).agg(F.max("price").alias("best_price"))
+    best = best.select(F.col("window.start").alias("best_start"), F.window_time("window").alias("best_time"), "best_price")
+    length = F.lit(length_ms).cast("long")
+    start = F.call_function("div", F.col("t"), length)
+    near = F.when(F.col("t") % length_ms == 0, F.array(start, start - 1)).otherwise(F.array(start))
+    bid_rows = timed(bid_stream).withColumn("w", F.explode(near)).withColumn("start", F.timestamp_millis(F.col("w") * length))
+    # The time range lets the store drop bids whose window is long over.
+    inside = (F.col("et") >= F.col("best_time") - F.expr(f"INTERVAL {length_ms + 1} MILLISECONDS")) & (F.col("et") <= F.col("best_time") + F.expr("INTERVAL 1 MILLISECOND"))
+    joined = bid_rows.join(best, (F.col("start") == F.col("best_start")) & (F.col("price") == F.col("best_price")) & inside)
+    return joined.select("w", "auction", "price", "bidder", F.col("t").alias("dateTime"), "extra", "offset")
+
+
 def stream_q4(bid_stream: DataFrame, auction_stream: DataFrame, length_ms: int) -> DataFrame:
     """Union form: one keyed state per (window, auction) holds the highest bid and the set of categories."""
     none = F.lit(None).cast("long")

@@ -13,18 +13,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is set instead.
+    Only where that setting is absent and the master is local (tests) a temporary folder is set instead.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = context.getCheckpointDir()
         if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all nodes share")
             folder = "file://" + tempfile.mkdtemp(prefix="tidemark-checkpoint-")
             context.setCheckpointDir(folder)
     elif context.getCheckpointDir() is None:
@@ -34,7 +37,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{checkpoint_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+@contextmanager
+def dropping_scratch(spark: SparkSession, keep: list[str] | None = None) -> Iterator[list[str]]:
+    """Scratch tables that are made inside are deleted at the end, but for the paths that are put into ``keep``.
+
+    To be used around an action whose result is written elsewhere: what is read lazily must not outlive its tables.
+    """
+    kept, before = keep if keep is not None else [], len(_scratch)
+    yield kept
+    for path in _scratch[before:]:
+        if path not in kept:
+            delete_path(spark, path)
+    _scratch[before:] = [p for p in _scratch[before:] if p in kept]
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,7 +76,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: later stages read committed files, so a lost executor costs only its own
     running tasks, and nothing above is computed twice.
     """
-    path = scratch_path(df.sparkSession, name)
+    return write_table(df, scratch_path(df.sparkSession, name))
+
+
+def write_table(df: DataFrame, path: str) -> DataFrame:
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
