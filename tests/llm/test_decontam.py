@@ -72,6 +72,48 @@ def test_recall_and_precision_by_brute_force(spark):
     assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
 
 
+def test_recall_of_the_tables_by_length():
+    """Items with as many edits as a leak may have, of every kind, inside other text: each is a leak by definition."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    found_in_all = planted = 0
+    for length in (5, 7, 8, 11, 12, 15, 20, 30, 60, 200):
+        items = [(i, " ".join(rng.choices(vocabulary, k=length))) for i in range(60)]
+        look = Items(items)
+        get, pads = look.vocabulary.get, [look.pad] * look.longest
+        ids, bounds = list(pads), []
+        for i, item in items:
+            words, k = item.split(), Items.edits(length)
+            if i % 2:
+                words = edited(rng, words, k)
+            else:
+                for _ in range(k):
+                    del words[rng.randrange(len(words))]
+            bounds.append(len(ids))
+            ids += [get(w, 0) for w in rng.choices(vocabulary, k=20) + words + rng.choices(vocabulary, k=20)] + pads
+        found = {(d, i) for d, i, *_ in look.search(np.asarray(ids), np.asarray(bounds))}
+        caught = sum((i, i) in found for i in range(60))
+        assert caught >= 0.95 * 60, length
+        found_in_all, planted = found_in_all + caught, planted + 60
+    assert found_in_all >= 0.985 * planted
+
+
+def test_the_windows_come_from_the_tables(monkeypatch):
+    """Without a table there is no candidate: nothing else finds windows."""
+    look = Items([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")])
+    flat = np.asarray([look.pad] * look.longest + look.ids[0].tolist() + [look.pad] * look.longest)
+    assert len(list(look.search(flat, np.asarray([look.longest])))) == 1
+    look.tables = []
+    assert list(look.search(flat, np.asarray([look.longest]))) == []
+
+
+def test_clashing_columns(spark):
+    frame = docs(spark, [(1, "a b c d e f g h"), (2, "x")]).selectExpr("*", "'k' AS item_id", "1 AS edits")
+    bench = spark.createDataFrame([(9, "a b c d e f")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in find_leaks(frame, bench).collect()] == [(1, 9)]
+    assert [tuple(r) for r in drop_leaking(frame, bench).collect()] == [(2, "x", "k", 1)]
+
+
 def test_chunks_change_nothing(spark, monkeypatch):
     from tidemark.llm import decontam
 

@@ -1,15 +1,20 @@
-"""Benchmark decontamination: unchanged pieces, word counts, exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Texts and items are words (lower-cased, common punctuation apart; in scripts that do not put spaces between words, each
 character is one). A document leaks an item of ``L`` words if
 some window of it is within ``k = floor(0.2 L)`` word edits, that is at an edit similarity of 0.8 or more.
 
-1. Pieces. If at most ``k`` edits separate a window from an item, one of the ``k + 1`` pieces that the item is cut
-   into is there unchanged. So an item is looked for only where one of its pieces occurs, shifted by up to ``k`` words.
-2. Counts. ``L - k`` words of the item are left unedited, so at least as many must be somewhere in that stretch.
-3. Verification. The exact edit distance of the item to the best part of the stretch.
+1. Embedding. A CGK random walk reads a window: at each step it puts out the word that it stands on, and moves on or not
+   by a random bit of that word and step. Walks over windows that are few edits apart fall into step again after an edit,
+   so their outputs differ in few places: edit distance becomes Hamming distance.
+2. Sampling. A table's key is the output at a few steps, drawn at random. Windows of every size begin with the same walk, so a
+   document is walked once from each word that some item has, whatever the items' lengths. An item has windows of the largest
+   size that is ``SPARE`` words below its own, every ``STRIDE`` words, so that long items are found at least as well as short ones. Each size has tables of its own, whose steps lie within its windows.
+3. Counts. ``L - k`` words of the item are left unedited, so at least as many must be somewhere around a window that shares
+   a key: a necessary condition, which stops nearly all chance hits.
+4. Verification. The exact edit distance of the item to the best part of the stretch.
 
-Both filters are necessary conditions, so no leak is lost, whatever the item's length and the kind of edits.
+Recall is that of the tables, and stated with the tests, by brute force: see the README. Precision is exact.
 
 The items are the query side: they are taken in chunks of at most ``CHUNK_WORDS`` words, which bounds what a task
 holds, one pass over the documents per chunk. No document or link reaches the driver.
@@ -36,6 +41,11 @@ from tidemark.runtime import ship
 SIMILARITY_EDITS = 0.2
 MIN_WORDS = 5
 CHUNK_WORDS = 200_000
+STRIDE = 3  # words from one window of an item to the next
+SPARE = 4  # an item has so many words more than its windows' size, so that it has more than one window
+WALKS = 6
+#: Windows of at least so many words: tables of each walk, steps of a table, steps between two of those at least.
+SIZES = {5: (8, 3, 1), 8: (6, 4, 1), 12: (5, 4, 3)}
 TABLE_BITS = 20
 PUNCTUATION = ".,!?;:\"|()[]"
 #: Scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo, Han. And their punctuation.
@@ -44,7 +54,8 @@ UNSPACED = re.compile(
     "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])"
 )
 UNSPACED_MARKS = re.compile("[\u3000-\u3003\u3008-\u3020\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
-BATCH_WORDS = 1 << 21
+BATCH_WORDS = 1 << 18
+SHIFT = 2  # words by which a walk may be out of step where it shares a key, besides the edits
 BLOCK = 4096  # places whose words are counted at once
 
 
@@ -67,7 +78,7 @@ class Items:
         self.pad = len(self.vocabulary) + 1  # 0 is any word that no item has
         self.ids = [np.asarray([self.vocabulary[w] for w in ws], dtype=np.int64) for _, ws in self.texts]
         self.lengths = np.asarray([len(ids) for ids in self.ids], dtype=np.int64)
-        self.longest = max(map(len, self.ids), default=0)
+        self.longest = max([*map(len, self.ids), 2 * max(SIZES)])  # pads after each document: no walk reaches the next one
         self._pieces()
 
     @staticmethod
@@ -75,39 +86,76 @@ class Items:
         return int(SIMILARITY_EDITS * length + 1e-9)
 
     def _pieces(self) -> None:
-        #: by piece size: a bitmap over the mixed keys, and key -> the (item, place in it) to look at
-        found: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        """The windows of all items, and their keys in each table, sorted."""
+        self.random = [spread_bits(np.arange(self.pad + 1, dtype=np.uint64) + np.uint64((w + 1) << 32)) for w in range(WALKS)]
+        self.tables: list[tuple[int, tuple[int, ...], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        windows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by size: item, begin, length
         for i, ids in enumerate(self.ids):
-            k = self.edits(len(ids))
-            size = len(ids) // (k + 1)
-            for p in range(k + 1):
-                at = p * size
-                found[size][int(piece_keys(ids[at : at + size], size)[0])].append((i, at))
-        self.pieces = {size: {key: np.asarray(places, dtype=np.int64) for key, places in keys.items()} for size, keys in found.items()}
-        self.bitmaps = {}
-        for size, keys in self.pieces.items():
-            bitmap = np.zeros(1 << TABLE_BITS, dtype=bool)
-            bitmap[np.fromiter(keys, dtype=np.uint64) >> np.uint64(64 - TABLE_BITS)] = True
-            self.bitmaps[size] = bitmap
+            size = max(s for s in SIZES if s <= max(MIN_WORDS, len(ids) - SPARE))
+            for at in sorted({*range(0, len(ids) - size + 1, STRIDE), len(ids) - size}):
+                windows[size].append((i, at, min(len(ids) - at, 2 * size)))
+        draw = np.random.default_rng(7)
+        for size in SIZES:
+            tables, sampled_steps, apart = SIZES[size]
+            steps = [drawn_steps(draw, 2 * size, sampled_steps, apart) for _ in range(WALKS * tables)]
+            found = windows.get(size)
+            if not found:
+                continue
+            # All windows of the size in a row, each followed by pads: they are walked like a document.
+            flat = np.full(sum(n + 2 * size for *_, n in found), self.pad, dtype=np.int64)
+            starts, reached = [], 0
+            for i, at, n in found:
+                starts.append(reached)
+                flat[reached : reached + n] = self.ids[i][at : at + n]
+                reached += n + 2 * size
+            places = np.asarray(found, dtype=np.int64)[:, :2]
+            for walk in range(WALKS):
+                own = steps[walk * tables : (walk + 1) * tables]
+                outputs = self.walk(walk, flat, np.asarray(starts, dtype=np.int64), own)
+                for sampled in own:
+                    keys = key_of(outputs, sampled)
+                    by = np.argsort(keys, kind="stable")
+                    bitmap = np.zeros(1 << TABLE_BITS, dtype=bool)
+                    bitmap[keys >> np.uint64(64 - TABLE_BITS)] = True
+                    self.tables.append((walk, sampled, keys[by], places[by, 0], places[by, 1], bitmap))
+
+    def walk(self, walk: int, flat: np.ndarray, starts: np.ndarray, tables: list[tuple[int, ...]]) -> dict[int, np.ndarray]:
+        """Hashed outputs, by step, of the walks that begin at ``starts``, at the steps that some table samples."""
+        wanted = {step for sampled in tables for step in sampled}
+        bits, at = self.random[walk][flat], starts.copy()
+        outputs = {}
+        for step in range(max(wanted) + 1):
+            here = bits[at]
+            if step in wanted:
+                outputs[step] = here * STEP_KEYS[step]
+            at += ((here >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+        return outputs
 
     def places(self, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(items, begins): where an unchanged piece puts an item, in blocks."""
-        for size, keys in self.pieces.items():
-            if len(flat) < size:
+        """(items, begins): where a shared key puts an item, each once, in blocks. ``flat`` ends with pads."""
+        starts = np.flatnonzero((flat[: len(flat) - self.longest] > 0) & (flat[: len(flat) - self.longest] != self.pad))
+        held = []
+        for walk in range(WALKS):
+            own = [t for t in self.tables if t[0] == walk]
+            if not own or not len(starts):
                 continue
-            mixed = piece_keys(flat, size)
-            held, rows = [], 0
-            for p in np.flatnonzero(self.bitmaps[size][mixed >> np.uint64(64 - TABLE_BITS)]).tolist():
-                found = keys.get(int(mixed[p]))
-                if found is None:
+            outputs = self.walk(walk, flat, starts, [t[1] for t in own])
+            for _, sampled, keys, items, offsets, bitmap in own:
+                mixed = key_of(outputs, sampled)
+                maybe = np.flatnonzero(bitmap[mixed >> np.uint64(64 - TABLE_BITS)])
+                low = np.searchsorted(keys, mixed[maybe], side="left")
+                count = np.searchsorted(keys, mixed[maybe], side="right") - low
+                hit = np.flatnonzero(count)
+                if not len(hit):
                     continue
-                held.append(np.stack([found[:, 0], p - found[:, 1]]))
-                rows += len(found)
-                if rows >= BLOCK:
-                    yield tuple(np.concatenate(held, axis=1))
-                    held, rows = [], 0
-            if held:
-                yield tuple(np.concatenate(held, axis=1))
+                each = np.repeat(hit, count[hit])
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
+                row = low[each] + nth
+                held.append(items[row] * np.int64(1 << 40) + (starts[maybe[each]] - offsets[row] + self.longest))
+        found = np.unique(np.concatenate(held)) if held else np.zeros(0, dtype=np.int64)
+        for at in range(0, len(found), BLOCK):
+            part = found[at : at + BLOCK]
+            yield part >> 40, (part & ((1 << 40) - 1)) - self.longest
 
     def plausible(self, flat: np.ndarray, items: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Whether the stretch around each place holds enough of the item's words (of any document: an upper bound)."""
@@ -115,10 +163,11 @@ class Items:
         good = np.zeros(len(items), dtype=bool)
         for length in np.unique(lengths).tolist():
             k, of_length = self.edits(length), np.flatnonzero(lengths == length)
+            slack = k + SHIFT
             step = max(1, BLOCK * 64 // length)
             for at in (of_length[i : i + step] for i in range(0, len(of_length), step)):
                 words = np.stack([self.ids[i] for i in items[at].tolist()])
-                around = flat[np.clip(begins[at, None] + np.arange(-k, length + k), 0, len(flat) - 1)]
+                around = flat[np.clip(begins[at, None] + np.arange(-slack, length + slack), 0, len(flat) - 1)]
                 there = np.zeros(len(at), dtype=np.int64)
                 for j in range(length):
                     there += (around == words[:, j : j + 1]).any(axis=1)
@@ -132,7 +181,7 @@ class Items:
         for items, at in self.places(flat):
             good = self.plausible(flat, items, at)
             items, at = items[good], at[good]
-            # A piece lies inside its document, the item's begin may lie before it.
+            # A window lies inside its document, the item's begin may lie before it.
             owner = np.searchsorted(bounds, at + self.lengths[items] - 1, side="right") - 1
             for doc, i, begin in zip(owner.tolist(), items.tolist(), at.tolist(), strict=True):
                 begins[doc, i].add(begin)
@@ -141,7 +190,7 @@ class Items:
             k, length = self.edits(len(self.ids[i])), len(self.ids[i])
             stretches: list[list[int]] = []  # overlapping ones are compared as one
             for begin in sorted(found):
-                low, high = max(int(bounds[doc]), begin - k), min(begin + length + k, int(ends[doc]))
+                low, high = max(int(bounds[doc]), begin - k - SHIFT), min(begin + length + k + SHIFT, int(ends[doc]))
                 if stretches and low <= stretches[-1][1]:
                     stretches[-1][1] = high
                 else:
@@ -155,15 +204,29 @@ class Items:
                 yield doc, i, best[1], best[2], best[0]
 
 
-def piece_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """A mixed 64-bit key of every ``size`` consecutive ids."""
-    n = len(ids) - size + 1
-    key = np.zeros(n, dtype=np.uint64)
-    wide = ids.astype(np.uint64)
-    for j in range(size):
-        key = (key ^ wide[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key * np.uint64(0xBF58476D1CE4E5B9)
+def spread_bits(values: np.ndarray) -> np.ndarray:
+    """Random-looking 64 bits for each value."""
+    x = values * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn_steps(draw: np.random.Generator, steps: int, number: int, apart: int) -> tuple[int, ...]:
+    """Random steps, at least ``apart`` from each other: a walk often stands on one word for some steps."""
+    room = steps - (number - 1) * apart
+    return tuple(int(x) + apart * k for k, x in enumerate(sorted(draw.choice(room, number, replace=True).tolist())))
+
+
+STEP_KEYS = spread_bits(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def key_of(outputs: dict[int, np.ndarray], sampled: tuple[int, ...]) -> np.ndarray:
+    """One table's keys: the outputs at its steps, mixed."""
+    key = outputs[sampled[0]]
+    for step in sampled[1:]:
+        key = key ^ outputs[step]
+    return key
 
 
 def closest(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
