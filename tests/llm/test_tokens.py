@@ -30,8 +30,8 @@ def test_memo_equals_the_library(plain, monkeypatch):
     rng = random.Random(1)
     alphabet = ["ab", "c", "É", ".", ",", " ", "\n", "'s", "7", "!", "\t", "  ", "ß", "Word", "-"]
     texts = TRICKY + ["".join(rng.choices(alphabet, k=rng.randint(1, 25))) for _ in range(3000)]
-    for bound in (10**6, 50):
-        monkeypatch.setattr(tokens, "MEMO_WORDS", bound)
+    for bound in (10**8, 10**4):
+        monkeypatch.setattr(tokens, "MEMO_BYTES", bound)
         got = list(tokens.Memo(PATH).encode(texts + texts))
         assert [np.frombuffer(g, "<u2").tolist() for g in got] == [plain(t) for t in texts] * 2
 

@@ -9,11 +9,13 @@ all little-endian. The payload is ``uint8 has_id | int64 doc_id | uint64 n_ids |
 feed is a fixed end mark, and lets Spark's own text writer put the bytes down: so the files get its
 commit protocol on any Hadoop file system, and a lost executor leaves no half-written or double file.
 
-The documents are range-partitioned by id and sorted, and each range is one shard folder with one file.
+Texts are encoded and framed where they are read; the frames are what is shuffled, to the shard of their id range, and
+sorted there. The ranges are quantiles of the ids, joined up to ``shard_bytes`` of text. Each shard is one folder with one file.
 The index (Parquet: shard, record, doc_id, offset, length, n_ids) is made by reading the files back.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows of equal id are ordered by
-text and each gets a record; an empty table gives no files and an empty index.
+record and each gets one; an empty table gives no files and an empty index. A shard is read back as one value, so the
+texts of one id range that no quantile divides (one id, repeated) must stay under 2 GB.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import memo, slices
 from tidemark.runtime import scratch_path, ship, small_batches
 
-SHARD_BYTES = 8 << 20  # of text; one shard is read as one value, so this bounds a task's memory. Raise it with that
+SHARD_BYTES = 16 << 20  # of text; one shard is read as one value, so this bounds a task's memory. Raise it with that
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<BqQ")
 MASK_DELTA = 0xA282EAD8
 INDEX = "shard int, record long, doc_id long, offset long, length long, n_ids long"
@@ -77,25 +79,59 @@ def walk(content: bytes | memoryview) -> Iterator[tuple[int, int, int | None, by
         at = end
 
 
+def shard_edges(rows: DataFrame, shard_bytes: int) -> list[int]:
+    """The largest id of every shard but the last: quantiles of the ids, neighbours joined up to ``shard_bytes`` of text."""
+    size = F.octet_length("text").cast("long")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    fine = 4 * max(1, -(-total // shard_bytes))
+    cuts = np.asarray(sorted(set(map(int, rows.approxQuantile("doc_id", [i / fine for i in range(1, fine)], 1 / (4 * fine)))) if total > shard_bytes else []), dtype=np.int64)
+    if not len(cuts):
+        return []
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(cuts) + 1, dtype=np.int64)
+        for batch in batches:
+            np.add.at(sums, shard_of(batch.column(0), cuts), batch.column(1).to_numpy())
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["r", "n"])
+
+    sizes = rows.select("doc_id", size.alias("size")).mapInArrow(weigh, "r long, n long").groupBy("r").agg(F.sum("n"))
+    weights = dict(map(tuple, sizes.collect()))  # four per shard
+    edges, held = [], 0
+    for i, cut in enumerate(cuts.tolist()):
+        held += weights.get(i, 0)
+        if held + weights.get(i + 1, 0) > shard_bytes:
+            edges.append(cut)
+            held = 0
+    return edges
+
+
+def shard_of(doc_ids: pa.Array, edges: np.ndarray) -> np.ndarray:
+    """The number of edges below each id; null ids are in the first range."""
+    return np.searchsorted(edges, doc_ids.fill_null(-(1 << 63)).to_numpy(), side="left")
+
+
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write one record each, in ascending order of id across the shards."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-total // shard_bytes)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    edges = shard_edges(rows, shard_bytes)
+    cuts = np.asarray(edges, dtype=np.int64)
     end = np.asarray([end_id], dtype="<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = memo(vocabulary)
         for batch in slices(batches):
-            ids = words.encode(batch.column(1).to_pylist())
-            frames = [frame(pack(d, i + end))[:-1] for d, i in zip(batch.column(0).to_pylist(), ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(frames, pa.binary())], ["shard", "frame"])
+            ids, texts = batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())
+            frames = [frame(pack(d, i + end))[:-1] for d, i in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(batch.column(0), cuts).astype(np.int32)), batch.column(0), pa.array(frames, pa.binary())], ["shard", "doc_id", "frame"])
 
-    framed = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(encode, "shard int, frame binary")
+    framed = rows.mapInArrow(encode, "shard int, doc_id long, frame binary")
+    # Shard n goes to partition n, without the sampling pass of a range partitioning, which would encode twice.
+    ordered = framed.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "frame")
     # The text writer adds the line feed that ends each record.
     with small_batches(docs.sparkSession):
-        framed.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+        ordered.select("shard", F.col("frame").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -179,16 +215,15 @@ def document_records(docs: DataFrame, vocabulary: str) -> DataFrame:
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row per shard
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, reached = None, 0  # a shard's records come in order, in one partition
         for batch in batches:
-            starts, sums = [], []
-            for s, n, ids in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if s != shard:
-                    shard, reached = s, 0
-                starts.append(reached)
-                reached += n
-                sums.append(wide_crc32(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(starts, pa.int64()), batch.column(3), pa.array(sums, pa.int64())], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
-
-    rows = read_records(spark, f"{path}/data").mapInArrow(digest, "shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                reached, found = 0, []
+                for _, _, d, ids in walk(memoryview(content.as_buffer())):
+                    found.append((shard, d, reached, len(ids) // 2, wide_crc32(ids)))
+                    reached += len(ids) // 2
+                columns = list(zip(*found, strict=True)) or [[]] * 5
+                kinds = [pa.int32(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+
+    rows = _files(spark, f"{path}/data").mapInArrow(digest, "shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(before, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
