@@ -4,7 +4,9 @@ from collections import defaultdict
 
 from helpers import docs, messy
 
-from tidemark.llm.lines import dedup_lines, document_lines
+from pyspark.sql import functions as F
+
+from tidemark.llm.lines import LineRuns, dedup_lines, document_lines
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -43,6 +45,44 @@ def test_keeper_and_repeats(spark):
     assert got == {1: "", 2: "", 3: f"x\n{line}\n{line}\ny"}
 
 
+def _hashes(spark, pairs):
+    frame = spark.createDataFrame(pairs, "doc long, line string").distinct()
+    return frame.select("doc", F.struct(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).alias("h"), "line")
+
+
+def test_levels_of_runs(spark):
+    """Many batches, largest ids first: levels fill up and are compacted, and the frequent lines are those of all pairs."""
+    rng = random.Random(5)
+    pairs = [(d, f"line {int(rng.random() ** 3 * 60)}") for d in range(70) for _ in range(8)]
+    named = {(r["h1"], r["h2"]): r["line"] for r in _hashes(spark, pairs).select("h.h1", "h.h2", "line").collect()}
+    runs, shapes = LineRuns(spark, 3, fanout=2), []
+    for batch in range(7):
+        runs.add(_hashes(spark, [(d, x) for d, x in pairs if 69 - d in range(10 * batch, 10 * batch + 10)]).select("doc", "h"))
+        shapes.append([len(level) for level in runs.levels])
+    assert shapes == [[1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1], [0, 1, 1], [1, 1, 1]]
+    want = defaultdict(set)
+    for d, x in pairs:
+        want[x].add(d)
+    got = {named[r["h1"], r["h2"]]: r["keeper"] for r in runs.frequent().collect()}
+    assert got == {x: max(held) for x, held in want.items() if len(held) >= 3}
+
+
+def test_a_batch_reads_no_rare_line_of_the_runs(spark):
+    """The runs grow by lines that are not frequent; what a batch reads of them does not."""
+    runs = LineRuns(spark, 3, fanout=3)
+    read = []
+    for batch in range(8):
+        top = 1000 - 100 * batch
+        pairs = [(top - i, f"own line {batch} {i}") for i in range(50)] + [(top - i, "common") for i in range(50)]
+        if batch:
+            plan = runs.known()._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("FileScan") == plan.count("PartitionFilters: [isnotnull(frequent") == len(runs.paths())
+            read.append(runs.known().count())
+            assert runs.left_of(_hashes(spark, pairs).select("doc", "h")).count() == 50  # the common line is known already
+        runs.add(_hashes(spark, pairs).select("doc", "h"))
+    assert set(read) == {1}
+
+
 def test_messy(spark):
     extra = messy(spark).selectExpr("*", "'z' AS n_lines", "9 AS h1")
     got = dedup_lines(extra)

@@ -1,15 +1,18 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-A run is a table of (h1, h2, n_docs, keeper) sorted by hash: how many documents of its batch hold the
-line, and the largest id among them. Runs are range-partitioned by hash, so that a merge of runs, or of
-a batch with the runs, is a sort-merge join over ordered files. For each batch of documents:
+A run is a table of (h1, h2, n_docs, keeper) sorted by hash: how many documents of its batches hold the
+line, and the largest id among them. It lies in two parts: the lines that are frequent by this run alone, and the rest. The documents come in
+batches by id, the largest ids first, so that the keeper of a line is seen first. For each batch:
 
 1. its distinct (document, line hash) pairs are counted per hash (partial counts first, so a line that a
    third of all documents hold is one row per task before the shuffle);
-2. the batch merge-anti-joins the runs: a hash that the runs already know to be frequent, with a keeper
-   above the batch's, needs no further entry;
+2. the batch merge-anti-joins the frequent parts of the runs: a hash that is known there, with a keeper
+   above the batch's, needs no further entry. The rest of the runs is not read, so a batch costs what it holds, and what is frequent;
 3. what is left is added as the batch's own level-0 run; when a level has ``fanout`` runs, they are
-   compacted into one run of the next level (counts added, keepers maximised).
+   compacted into one run of the next level (counts added, keepers maximised), and lines that have become frequent in it move to its
+   frequent part. A row is rewritten once per level.
+
+At the end all runs are merged once.
 
 A line is frequent if ``min_docs`` documents hold it. Its lines are dropped everywhere but in the
 largest document id that holds it. Line keys are hashed to 128 bits.
@@ -21,6 +24,8 @@ than any other. Other columns pass through; an empty table gives an empty one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,7 @@ from tidemark.runtime import delete_path, materialize, scratch_path
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(1 << 63)
+RUN = "h1 long, h2 long, n_docs long, keeper long, frequent boolean"
 
 
 def line_key(line: Column) -> Column:
@@ -59,34 +65,46 @@ def _line_hashes(text: Column, min_chars: int) -> Column:
 class LineRuns:
     """The levels of sorted runs, as Parquet tables in the shared folder."""
 
-    def __init__(self, spark, min_docs: int, fanout: int = 4):
+    def __init__(self, spark, min_docs: int, fanout: int = 3):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.levels: list[list[str]] = []
 
+    def paths(self) -> list[str]:
+        return [p for level in self.levels for p in level]
+
     def _write(self, run: DataFrame) -> str:
         path = scratch_path(self.spark, "line-run")
         # The aggregation has already dealt the rows by hash: sort in place, no further shuffle.
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        split = run.withColumn("frequent", F.col("n_docs") >= self.min_docs)
+        split.sortWithinPartitions("frequent", "h1", "h2").write.partitionBy("frequent").parquet(path)
         return path
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, keeper long").parquet(*paths)
+    def _read(self, paths: list[str], frequent_only: bool = False) -> DataFrame:
+        runs = [self.spark.read.schema(RUN).parquet(p) for p in paths]  # each run is the root of its own two parts
+        rows = reduce(DataFrame.unionByName, runs)
+        return rows.filter("frequent") if frequent_only else rows
+
+    def known(self) -> DataFrame:
+        """Lines that some run knows to be frequent: the only part of the runs that a batch reads."""
+        return self._read(self.paths(), frequent_only=True).groupBy("h1", "h2").agg(F.max("keeper").alias("above"))
 
     def merged(self, paths: list[str] | None = None) -> DataFrame:
-        """All runs as one."""
-        rows = self._read(paths or [p for level in self.levels for p in level])
-        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+        """Runs as one."""
+        return self._read(paths or self.paths()).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
     def frequent(self) -> DataFrame:
         return self.merged().filter(F.col("n_docs") >= self.min_docs)
 
-    def add(self, hashes: DataFrame) -> None:
-        """``hashes``: (doc, h) pairs, distinct in each document, of a batch of documents that no other batch holds."""
+    def left_of(self, hashes: DataFrame) -> DataFrame:
+        """What a batch adds. ``hashes``: (doc, h) pairs, distinct in each document, of documents that no other batch holds."""
         batch = hashes.groupBy("h.h1", "h.h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
-        if any(self.levels):
-            known = self.frequent().select("h1", "h2", F.col("keeper").alias("above"))
-            batch = batch.join(known, (batch.h1 == known.h1) & (batch.h2 == known.h2) & (known.above > batch.keeper), "left_anti")
-        self._place(0, self._write(batch))
+        if not self.paths():
+            return batch
+        known = self.known().hint("merge")
+        return batch.join(known, (batch.h1 == known.h1) & (batch.h2 == known.h2) & (known.above > batch.keeper), "left_anti")
+
+    def add(self, hashes: DataFrame) -> None:
+        self._place(0, self._write(self.left_of(hashes)))
 
     def _place(self, level: int, path: str) -> None:
         while len(self.levels) <= level:
@@ -99,16 +117,16 @@ class LineRuns:
                 delete_path(self.spark, old)
 
 
+def batch_of(doc: Column, cuts: list[int]) -> Column:
+    """The number of the document's batch: 0 has the largest ids."""
+    return sum((F.when(doc <= cut, 1).otherwise(0) for cut in cuts), F.lit(0)).cast("int")
+
+
 def line_runs(hashed: DataFrame, min_docs: int, batches: int) -> LineRuns:
-    """Feed ``batches`` slices of the document ids, the largest ids first, so that keepers come early."""
-    runs, doc = LineRuns(hashed.sparkSession, min_docs), F.col("doc")
-    shares = [i / batches for i in range(1, batches)]
-    cuts = sorted({int(c) for c in hashed.approxQuantile("doc", shares, 0.01)}, reverse=True) if shares else []
-    edges = [None, *cuts, None]
-    for above, below in zip(edges, edges[1:]):  # noqa: B905
-        batch = hashed if above is None else hashed.filter(doc <= above)
-        batch = batch if below is None else batch.filter(doc > below)
-        runs.add(batch.select("doc", F.explode(_distinct(F.col("hs"))).alias("h")))
+    """Feed the batches in turn; ``hashed`` is a table partitioned by ``batch``."""
+    runs = LineRuns(hashed.sparkSession, min_docs)
+    for number in range(batches):
+        runs.add(hashed.filter(F.col("batch") == number).select("doc", F.explode(_distinct(F.col("hs"))).alias("h")))
     return runs
 
 
@@ -118,13 +136,19 @@ def _distinct(hashes: Column) -> Column:
     return F.transform(ordered, lambda s: F.filter(s, lambda h, i: (i == 0) | (h != F.get(s, i - 1))))[0]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated lines gone from ``text``, plus ``n_lines`` and ``n_dropped`` (long)."""
+    spark = docs.sparkSession
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     body = F.xxhash64(F.col(text))  # tells rows of one id apart
-    # The hashes of every line, once; what follows reads them and not the texts.
-    hashed = materialize(docs.select(doc.alias("doc"), body.alias("body"), _line_hashes(F.col(text), min_chars).alias("hs")), "line-hashes")
-    frequent = materialize(line_runs(hashed, min_docs, batches).frequent(), "frequent-lines")
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted({int(c) for c in docs.select(doc.alias("doc")).approxQuantile("doc", shares, 0.01)}, reverse=True) if shares else []
+    # The hashes of every line, once, by batch; what follows reads them and not the texts.
+    path = scratch_path(spark, "line-hashes")
+    made = docs.select(doc.alias("doc"), body.alias("body"), _line_hashes(F.col(text), min_chars).alias("hs")).withColumn("batch", batch_of(F.col("doc"), cuts))
+    made.write.partitionBy("batch").parquet(path)
+    hashed = spark.read.schema(made.schema).parquet(path)
+    frequent = materialize(line_runs(hashed, min_docs, len(cuts) + 1).frequent(), "frequent-lines")
     spots = hashed.select("doc", "body", F.posexplode("hs").alias("pos", "h")).filter("h IS NOT NULL").select("doc", "body", "pos", "h.h1", "h.h2")
     # A line that a third of all documents hold is a skewed key of this join; adaptive execution splits it.
     doomed = spots.join(frequent, ["h1", "h2"]).filter(F.col("doc") < F.col("keeper"))
