@@ -54,6 +54,19 @@ def test_many_slices(spark):
         assert mine == list(range(len(mine)))
 
 
+def test_equal_rows_and_shuffled_tables(spark, monkeypatch):
+    """A table of one row repeated is spread over the slices, and small tables that are not broadcast give the same rows."""
+    from tidemark.llm import sharding
+
+    frame = docs(spark, [(7, "x")] * 900, 4).cache()
+    got = shard_uniformly(frame, ["doc_id", "text"], shards=3, slice_rows=30).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, n) for s in range(3) for n in range(300)]
+    other = docs(spark, [(i, "x") for i in range(300)], 4).cache()
+    one = sorted(map(tuple, shard_uniformly(other, ["doc_id"], shards=3, slice_rows=30).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_PARTITIONS", 0)
+    assert sorted(map(tuple, shard_uniformly(other, ["doc_id"], shards=3, slice_rows=30).collect())) == one
+
+
 def test_messy_and_empty(spark):
     assert document_shards(messy(spark)).count() == 9
     assert document_shards(docs(spark, [])).count() == 0

@@ -90,6 +90,59 @@ def test_least_squares_uses_up_a_matching_histogram():
         assert sum(combo) == 64
 
 
+def test_counts_are_the_least_squares_ones():
+    """The conditions of the optimum: no count can be raised with profit, and those above zero not lowered."""
+    rng = np.random.default_rng(3)
+    histogram = np.zeros(33, dtype=np.int64)
+    histogram[1:32] = rng.integers(0, 50, size=31)
+    combos = combinations(np.flatnonzero(histogram), 32)
+    a = np.zeros((33, len(combos)))
+    for k, combo in enumerate(combos.tolist()):
+        for v in combo:
+            a[v, k] += v > 0
+    x = solve(histogram, combos, rounds=20_000)
+    gradient = a.T @ (a @ x - histogram)
+    assert (x >= 0).all() and (gradient > -0.05).all() and np.abs(x * gradient).max() < 0.5
+    assert len(combos) == len({tuple(c) for c in combos.tolist()})
+    every = {tuple(sorted((p, q, 32 - p - q), reverse=True)) for p in range(33) for q in range(33 - p) if all(n == 0 or histogram[n] for n in (p, q, 32 - p - q))}
+    assert {tuple(c) for c in combos.tolist()} == {c for c in every if c[1] > 0}
+
+
+def test_most_rests_come_through_the_combinations():
+    rng = random.Random(6)
+    histogram = np.zeros(2049, dtype=np.int64)
+    for _ in range(10_000):
+        histogram[min(2047, max(1, int(rng.lognormvariate(6, 0.9))))] += 1
+    combos = combinations(np.flatnonzero(histogram), 2048)
+    _, left = round_counts(solve(histogram, combos), combos, histogram)
+    assert left.sum() < 0.25 * histogram.sum()
+
+
+def test_ranks_by_shuffle_give_the_same_pieces(spark, monkeypatch):
+    from tidemark.llm import packing
+
+    rows = [(i, " ".join(["river"] * (i * 37 % 900))) for i in range(60)] + [(3, "x"), (3, "x")]
+    frame = docs(spark, rows, 4).selectExpr("*", "1 AS start", "'q' AS rest", "2 AS sequence_id").cache()
+    one = sorted(map(tuple, pack(frame, PATH).collect()))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, pack(frame, PATH).collect())) == one
+
+
+def test_clashing_columns_of_records(spark):
+    frame = docs(spark, [(1, "a b"), (2, None)]).selectExpr("*", "'q' AS shard", "7 AS frame", "8 AS start")
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in document_records(frame, PATH).collect()) == [(1, 0, 3), (2, 3, 1)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    """A file whose pieces are not those of byte-level BPE: no cuts, the library's own ids."""
+    path = PATH.replace("byte_bpe_50k.json", "word_bpe_49k.json")
+    texts = ["Some Words, here", "a  b", "", "x\ny"]
+    memo = tokens.Memo(path)
+    tokenizer = tokens.Memo(path).tokenizer
+    assert not memo.by_words
+    assert [np.frombuffer(g, "<u2").tolist() for g in memo.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_fills_every_sequence():
     rng = random.Random(4)
     counts = {n: rng.randint(1, 40) for n in rng.sample(range(1, 64), 40)}

@@ -3,10 +3,11 @@
 A document of ``n`` ids gives ``n // window`` full sequences and one rest of ``n % window`` ids. The rests are
 packed whole where possible:
 
-1. Shallow combinations of lengths that fill the window exactly are enumerated: all pairs, and all
-   triples whose shortest member is a multiple of ``GRID``.
+1. Shallow combinations of lengths that fill the window exactly are enumerated: all pairs and all triples, about a twelfth of
+   the window's square.
 2. Repeat counts ``x >= 0`` minimise ``|A x - h|`` for the histogram ``h`` of rests (multiplicative updates).
-3. The counts are rounded by error diffusion along the longest member, never beyond the histogram.
+3. The counts are rounded by error diffusion along the longest member, never beyond the histogram; then combinations that the
+   rounding has left possible are taken whole, those of the highest counts first.
 4. What is left over is packed greedily, longest first, each sequence filled to the brim by cutting the rest
    that crosses its end. The very last sequence is cut at powers of two, which need no padding.
 
@@ -35,7 +36,6 @@ from tidemark.llm.tokens import memo, slices
 from tidemark.runtime import materialize, ship
 
 WINDOW = 2048
-GRID = 16
 BROADCAST_ROWS = 200_000  # (input partition, length) rows up to which the ranks are broadcast: 6 MB
 
 
@@ -83,23 +83,23 @@ class Plan:
         raise ValueError("beyond the line")
 
 
-def combinations(lengths: np.ndarray, window: int, grid: int = GRID) -> np.ndarray:
+def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """Rows (a, b, c) with a >= b >= c, a + b + c = window, all present; c = 0 marks a pair."""
     there = np.zeros(window + 1, dtype=bool)
     there[lengths] = True
     there[0] = False
     found = []
-    for c in range(0, window // 3 + 1, grid):
+    for c in range(window // 3 + 1):
         if c and not there[c]:
             continue
         b = np.arange(max(c, 1), (window - c) // 2 + 1)
         a = window - c - b
         ok = there[a] & there[b]
-        found.append(np.stack([a[ok], b[ok], np.full(int(ok.sum()), c)], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+        found.append(np.stack([a[ok], b[ok], np.full(int(ok.sum()), c)], axis=1).astype(np.int32))
+    return np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int32)
 
 
-def solve(histogram: np.ndarray, combos: np.ndarray, rounds: int = 300) -> np.ndarray:
+def solve(histogram: np.ndarray, combos: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Non-negative least squares for the repeat counts, by multiplicative updates."""
     x = np.full(len(combos), max(1.0, histogram.sum()) / max(1, 3 * len(combos)))
     real = combos > 0
@@ -115,7 +115,8 @@ def solve(histogram: np.ndarray, combos: np.ndarray, rounds: int = 300) -> np.nd
 
 
 def round_counts(x: np.ndarray, combos: np.ndarray, histogram: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
-    """Whole counts by error diffusion along the longest member, within the histogram; and what is left."""
+    """Whole counts within the histogram, by error diffusion along the longest member and then as many as there is still room for;
+    and what is left."""
     left, carry, chosen = histogram.copy(), 0.0, []
     last = -1
     for i in np.lexsort((-x, -combos[:, 0])):
@@ -129,7 +130,16 @@ def round_counts(x: np.ndarray, combos: np.ndarray, histogram: np.ndarray) -> tu
             chosen.append((combo, count))
             for v in combo:
                 left[v] -= count
-    return chosen, left
+    room = left.tolist()
+    for a, b, c in combos[np.argsort(-x, kind="stable")].tolist():
+        if room[a] and room[b] and (not c or room[c]):
+            combo = (a, b, c) if c else (a, b)
+            members = Counter(combo)
+            if count := min(room[v] // n for v, n in members.items()):
+                chosen.append((combo, count))
+                for v, n in members.items():
+                    room[v] -= n * count
+    return chosen, np.asarray(room)
 
 
 def make_plan(counts: dict[int, int], window: int, first_sequence: int) -> Plan:

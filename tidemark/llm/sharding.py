@@ -108,7 +108,8 @@ def shard_uniformly(df: DataFrame, key_columns: list[str], shards: int = 24, see
         numbered.join(matrix, "__part")
         .withColumn("shard", F.size(F.filter("__bounds", lambda b: b <= F.col("__rank"))).cast("int"))
         .drop("__bounds")
-        .withColumn("__again", F.xxhash64(F.lit(seed + 1), "__key"))
+        # The row's place in its partition too: rows that are equal in all keys are spread over the slices.
+        .withColumn("__again", F.xxhash64(F.lit(seed + 1), "__key", "__part", "__rank"))
         .withColumn("__slice", F.pmod(F.shiftrightunsigned("__again", 32), F.lit(slices)).cast("int"))
         .drop("__part", "__rank")
     )
