@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it kept, with the columns of ``documents``; the last one
 returns the packed pieces.
+
+Defined cases: rows of a null or empty text go in the first stage; rows of a null or repeated id are rows like any other, told apart by
+their texts where a stage drops some of them (of wholly equal rows one stays); a missing language is filled in; other columns are
+dropped; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from tidemark.llm.lines import dedup_lines
 from tidemark.llm.packing import pack
 from tidemark.llm.simhash import keep_one
 from tidemark.llm.vocabulary import vocabulary_path
-from tidemark.runtime import materialize
+from tidemark.runtime import delete_path, dropping_scratch, scratch_path, write_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_SCORE = 0.5  # of the predicted language's posterior
@@ -58,6 +62,12 @@ STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies)
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, from the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with dropping_scratch(spark):  # what a stage writes on its way goes when its result is there
+            docs = write_table(stage(spark, docs, sf_dir), path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
