@@ -112,10 +112,10 @@ def test_most_rests_come_through_the_combinations():
     rng = random.Random(6)
     histogram = np.zeros(2049, dtype=np.int64)
     for _ in range(10_000):
-        histogram[min(2047, max(1, int(rng.lognormvariate(6, 0.9))))] += 1
+        histogram[min(2047, max(1, int(rng.lognormvariate(6.5, 0.8)) % 2048))] += 1
     combos = combinations(np.flatnonzero(histogram), 2048)
     _, left = round_counts(solve(histogram, combos), combos, histogram)
-    assert left.sum() < 0.25 * histogram.sum()
+    assert left.sum() < 0.15 * histogram.sum()  # lengths up to 2,047, a median of 665
 
 
 def test_ranks_by_shuffle_give_the_same_pieces(spark, monkeypatch):
