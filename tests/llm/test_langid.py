@@ -79,6 +79,23 @@ def test_long_words_are_summed_whole():
     assert abs((sums.reshape(table.shape)[:, 0] * lengths).sum() - len(word) - 1) < 1e-6
 
 
+def test_prediction_by_enumeration():
+    """The language of the largest product of all words' sums and the prior, each sum by enumerating the segmentations."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "c"]
+    index = {p: i for i, p in enumerate(pieces)}
+    rng, draw = random.Random(4), np.random.default_rng(4)
+    table = draw.random((len(pieces) + 2, 3)) / 4
+    table[-1] = 0
+    prior = np.asarray([0.5, 0.3, 0.2])
+    model = LanguageModel(["x", "y", "z"], pieces, table, np.log(prior))
+    texts = [" ".join("".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    for text, (language, score) in zip(texts, model.predict(texts), strict=True):
+        odds = prior.copy()
+        for word in words_of(text):
+            odds *= [brute("▁" + word, table[:, k], index, len(pieces)) for k in range(3)]
+        assert language == "xyz"[int(odds.argmax())] and abs(score - odds.max() / odds.sum()) < 1e-4
+
+
 def test_memo_is_bounded(monkeypatch):
     model = LanguageModel(["x", "y"], ["a", "b", "ab"], np.full((5, 2), 0.2), np.zeros(2))
     texts = [" ".join("".join(random.Random(i).choices("ab", k=12)) for _ in range(5)) for i in range(200)]
