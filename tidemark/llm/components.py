@@ -21,10 +21,16 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _apart(least: DataFrame) -> DataFrame:
+    """The minima as a table of their own: without the node's partitioning they are shuffled once more, few rows, and the join has two
+    plain shuffles, of which adaptive execution splits a node that very many edges share."""
+    return least.select(F.col("u").bitwiseXOR(F.lit(0).cast("long")).alias("u"), "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of its neighbourhood."""
     around = _both_ways(edges)
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = _apart(around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     return around.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -32,7 +38,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them. Edges point from large to small."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+    joined = down.join(_apart(least), "u")
     linked = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
