@@ -250,5 +250,20 @@ def test_control_plane_cases(spark):
     assert cluster.others_messages(table([(0,), (1,)], "sender_id int"), 0).count() == 1
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from tidemark.runtime import checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = conf = property(lambda self: lambda: {})  # noqa: N815
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext, conf = Context(), {}  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
+
+
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
