@@ -150,6 +150,19 @@ def test_log_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert run() == events.count() - 1000
 
 
+def test_output_consumer(spark, tmp_path):
+    """Results as text, written by a stream, read by another one that shows them in a table."""
+    from tidemark.sources import log
+
+    session, source = stream_session(spark), Log(spark, f"{tmp_path}/in")
+    source.write([(p, t) for p in (0, 1) for t in (5, 7, 20_001, 40_001)])
+    counts = _count(source.streams(session, 2))
+    log.write_results(log.result_text(counts, F.col("n").cast("string")), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    results = session.readStream.schema("partition int, window long, value string").parquet(f"{tmp_path}/out")
+    log.write_results(results, None, f"{tmp_path}/cp2", fmt="memory", name="shown").awaitTermination()
+    assert sorted((r["window"], r["value"]) for r in session.table("shown").collect()) == [(1, "4"), (3, "2")]  # the clocks are in window 5
+
+
 def test_watermark_state_is_evicted(spark, tmp_path):
     """The built-in aggregation drops what has closed: the state holds the open windows only."""
     session, source = stream_session(spark), Log(spark, f"{tmp_path}/in")

@@ -5,7 +5,7 @@ Spark's scheduler does the work itself; these answer what the rules would decide
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -139,3 +139,13 @@ def encode_snapshot(snapshots: DataFrame) -> DataFrame:
 def decode_snapshot(lines: DataFrame) -> DataFrame:
     parts = F.split("line", ":")
     return lines.select("partition", parts[0].cast("long").alias("offset"), F.decode(F.unbase64(parts[1]), "UTF-8").alias("snapshot"))
+
+
+def store_snapshots(snapshots: DataFrame, path: str) -> None:
+    """The newest snapshot of each partition as a text file of its own folder, in any store that Spark can write."""
+    encode_snapshot(merge_snapshots(snapshots)).select("partition", F.col("line").alias("value")).write.mode("overwrite").partitionBy("partition").text(path)
+
+
+def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """What ``store_snapshots`` has left: (partition, offset, snapshot)."""
+    return decode_snapshot(spark.read.schema("value string, partition int").text(path).select("partition", F.col("value").alias("line")))

@@ -126,6 +126,17 @@ def _output_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.decode_output_rows(log.encode_output_rows(rows))
 
 
+def _output_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earliest append time of the output records of each window, read from their JSON."""
+    return latency.in_order(latency.output_time(_output_rows(spark, sf_dir).withColumn("w", q.window_id(F.col("timestamp"), HOUR))))
+
+
+def _snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "snapshots")
+    cluster.store_snapshots(_snapshots(spark, sf_dir).filter("partition % 25 = 0"), path)
+    return cluster.load_snapshots(spark, path)
+
+
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     routed = log.route_by_partition(read_events(spark, sf_dir).select("partition", "offset"), 4)
     return routed.groupBy("partition", F.spark_partition_id().cast("long").alias("task")).agg(F.count("*").alias("n"))
@@ -261,6 +272,7 @@ def queries() -> dict[str, Query]:
         "others_messages": lambda s, d: cluster.others_messages(read_events(s, d).select((F.col("offset") % 5).alias("sender_id"), "offset"), 2),
         "snapshot_merge": lambda s, d: cluster.merge_snapshots(_snapshots(s, d)),
         "snapshot_codec": lambda s, d: cluster.decode_snapshot(cluster.encode_snapshot(_snapshots(s, d))),
+        "snapshot_files": _snapshot_files,
         "clock_arrays": _clock_arrays,
         "out_of_order": over(lambda e: latency.out_of_order(_scattered(e))),
         "skipped_windows": over(lambda e: latency.skipped_windows(_scattered(e), DAY)),
@@ -272,6 +284,7 @@ def queries() -> dict[str, Query]:
         "identity_partitioner": _routed,
         "json_envelope": over(lambda e: log.decode_json_envelope(log.encode_json(e)).withColumn("partition", F.col("partition").cast("long"))),
         "output_rows_json": _output_rows,
+        "append_lag_output_json": _output_lag,
         "results_once": _results_once,
         "log_replay": _replay,
         "stream_log": _stream_log,
@@ -416,6 +429,7 @@ def oracle_sql() -> dict[str, str]:
         "others_messages": 'SELECT event_id % 5 AS sender_id, event_id AS "offset" FROM events WHERE event_id % 5 <> 2',
         "snapshot_merge": f'SELECT partition, offset_ AS "offset", snapshot FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY offset_ DESC, arrival) AS r FROM {snapshots}) WHERE r = 1',
         "snapshot_codec": f'SELECT partition, offset_ AS "offset", snapshot FROM {snapshots}',
+        "snapshot_files": f'SELECT partition, offset_ AS "offset", snapshot FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY offset_ DESC, arrival) AS r FROM {snapshots}) WHERE r = 1 AND partition % 25 = 0',
         "clock_arrays": _sql("SELECT p AS partition, max(t) AS clock FROM b GROUP BY p", DAY),
         "out_of_order": _sql(f"SELECT p AS partition, count(*) AS n FROM {newest} WHERE t < newest GROUP BY p", DAY),
         "skipped_windows": _sql(f'SELECT p AS partition, place AS "offset", f AS from_w, w AS to_w FROM (SELECT *, CASE WHEN newest % {DAY} = 0 THEN newest // {DAY} ELSE newest // {DAY} + 1 END AS f FROM {newest}) WHERE w - f > 1', DAY),
@@ -430,6 +444,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT b.auction, b.price, b.bidder, CAST(b.t AS VARCHAR) AS "dateTime", b.t AS timestamp, b.et AS extra, b.t + 5000 AS append_ts {joined.format(length=HOUR)}""",
             HOUR,
         ),
+        "append_lag_output_json": _sql(
+            f"SELECT w, min(append_ts) AS output_ts FROM (SELECT b.w AS w, b.t + 5000 AS append_ts {joined.format(length=HOUR)}) GROUP BY w HAVING w < (SELECT max(b.w) - 1 {joined.format(length=HOUR)})",
+            HOUR,
+        ),
         "results_once": _sql(f"SELECT CAST(0 AS INTEGER) AS partition, w AS \"window\", 'Auction ID: ' || auction || ', Bid Count: ' || n AS value FROM ({_TOP})", HOUR),
         "log_replay": _sql(replay, DAY),
         "stream_log": _sql(replay, DAY),

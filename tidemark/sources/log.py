@@ -157,10 +157,11 @@ def first_per_window(results: DataFrame) -> DataFrame:
     return results.dropDuplicates(["window"])
 
 
-def write_results(df: DataFrame, path: str | None, checkpoint: str, fmt: str = "parquet", trigger: dict | None = None, options: dict[str, str] | None = None) -> StreamingQuery:
+def write_results(df: DataFrame, path: str | None, checkpoint: str, fmt: str = "parquet", trigger: dict | None = None, options: dict[str, str] | None = None, name: str | None = None) -> StreamingQuery:
     """Append results exactly once; ``fmt`` may be parquet, json, csv, orc, console, memory or kafka. For Kafka, ``options`` name
-    ``kafka.bootstrap.servers`` and ``topic``, and ``df`` holds ``value`` (and ``key``)."""
+    ``kafka.bootstrap.servers`` and ``topic``, and ``df`` holds ``value`` (and ``key``). ``name`` is the query's, and that of the table of a memory sink."""
     if fmt == "kafka" and (missing := {"kafka.bootstrap.servers", "topic"} - set(options or {})):
         raise ValueError(f"a Kafka sink needs the options {sorted(missing)}")
     writer = df.writeStream.outputMode("append").format(fmt).option("checkpointLocation", checkpoint).options(**(options or {})).trigger(**(trigger or {"availableNow": True}))
+    writer = writer.queryName(name) if name else writer
     return writer.start(path) if fmt in ("parquet", "json", "csv", "orc") else writer.start()
