@@ -3,7 +3,7 @@
 Every micro-batch is folded into partial states by (source partition, window, key) where it is read, those are merged with the open
 windows that the batches before have left, and the windows that all partitions have passed are handed to ``combine`` and written out.
 The state is a set of tables, one version per batch: partials of the open windows, the clocks, and the last window that was emitted. So the state is as
-distributed as any DataFrame, no task holds all windows, and the source is read once, whatever the number of its partitions.
+distributed as any DataFrame, no task holds all windows, and the source is read once for each aggregate, whatever the number of its partitions.
 
 Exactly once: a batch writes its version and its results under its own number, and overwrites what an attempt before it has left. The version
 that counts is that of the batch before, which the stream's checkpoint has committed.
