@@ -165,6 +165,9 @@ def test_components(spark):
 
 
 def test_messy(spark):
+    for least in (None, 0.8):
+        extra = near_duplicates(messy(spark).selectExpr("*", "5 AS w0", "6 AS node", "7 AS grp", "8 AS row"), min_jaccard=least).collect()
+        assert len(extra) == 9 and {(r["w0"], r["node"], r["grp"], r["row"]) for r in extra} == {(5, 6, 7, 8)}
     got = near_duplicates(messy(spark).selectExpr("*", "1 AS fp", "2 AS component_id")).collect()
     assert len(got) == 9
     by = {(r["doc_id"], r["fp"]): r["component_id"] for r in got}

@@ -44,6 +44,10 @@ class Trie:
     def turned(self, words: np.ndarray) -> np.ndarray:
         return words if not self.turn else (words << np.uint64(self.turn)) | (words >> np.uint64(BITS - self.turn))
 
+    def within(self, apart: np.ndarray) -> np.ndarray:
+        """Whether the differing bits of turned words keep to the budget."""
+        return np.logical_and.reduce([np.bitwise_count(apart >> np.uint64(BITS - depth)) <= limit for depth, limit in self.limits])
+
     def allowed(self) -> np.ndarray:
         """Differing bits allowed at each level, from 0 to 64."""
         return np.asarray([min(limit for depth, limit in self.limits if depth >= level) for level in range(BITS + 1)])
@@ -123,10 +127,7 @@ def near_pairs(turned: np.ndarray, start: tuple[int, int, int, int], level: int,
 
     def words_apart(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts.compared += len(i)
-        apart = turned[i] ^ turned[j]
-        good = labels.label[i] != labels.label[j]
-        for depth, limit in trie.limits:
-            good &= np.bitwise_count(apart >> np.uint64(BITS - depth)) <= limit
+        good = (labels.label[i] != labels.label[j]) & trie.within(turned[i] ^ turned[j])
         counts.found += int(good.sum())
         return i[good], j[good]
 
@@ -166,18 +167,28 @@ def near_pairs(turned: np.ndarray, start: tuple[int, int, int, int], level: int,
 def walked(turned: np.ndarray, start: tuple[int, int, int, int], level: int, differing: int, trie: Trie, labels: Labels, thin: bool, counts: Counts | None = None, apart=None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of ``near_pairs`` that ``apart`` (distance or -1 for none) accepts; if ``thin``, those that connect something new, nearest first."""
     us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i, j in near_pairs(turned, start, level, differing, trie, labels, counts or Counts()):
-        if apart is not None:
-            distance = apart(i, j)
-            good = distance >= 0
-            i, j, distance = i[good], j[good], distance[good]
-            if thin:
-                by = np.argsort(distance, kind="stable")
-                i, j = i[by], j[by]
-        if thin:
-            i, j = labels.join(i, j)
+    held: list[tuple[np.ndarray, ...]] = []  # links that wait to be put in order of their distance
+
+    def connect() -> None:
+        i, j, distance = (np.concatenate(x) for x in zip(*held, strict=True))
+        by = np.argsort(distance, kind="stable")
+        i, j = labels.join(i[by], j[by])
         us.append(i)
         vs.append(j)
+        held.clear()
+
+    for i, j in near_pairs(turned, start, level, differing, trie, labels, counts or Counts()):
+        distance = apart(i, j) if apart is not None else np.zeros(len(i), dtype=np.int64)
+        good = distance >= 0
+        if thin:
+            held.append((i[good], j[good], distance[good]))
+            if sum(len(h[0]) for h in held) >= STEP:
+                connect()
+        else:
+            us.append(i[good])
+            vs.append(j[good])
+    if held:
+        connect()
     return np.concatenate(us), np.concatenate(vs)
 
 
@@ -268,6 +279,11 @@ def joined(nodes: DataFrame, tries: list[Trie], words: list[str], thin: bool, wh
 
         labels = Labels(rest[-1] if group else np.arange(len(turned)))
         i, j = walked(turned, start, depth, differing, tries[key[0]], labels, thin, apart=None if whole is None else apart)
+        if not thin:  # a pair is given by the first trie that finds it
+            for earlier in tries[: key[0]]:
+                word = earlier.turned(own[earlier.word])
+                new = ~earlier.within(word[i] ^ word[j])
+                i, j = i[new], j[new]
         return np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
