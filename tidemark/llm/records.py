@@ -11,7 +11,7 @@ commit protocol on any Hadoop file system, and a lost executor leaves no half-wr
 
 Texts are encoded and framed where they are read; the frames are what is shuffled, to the shard of their id range, and
 sorted there. The ranges are quantiles of the ids, joined up to ``shard_bytes`` of text. Each shard is one folder with one file.
-The index (Parquet: shard, record, doc_id, offset, length, n_ids) is made by reading the files back.
+The index (Parquet: shard, record, doc_id, offset, length, n_ids, ids_crc32) is made by reading the files back.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; rows of equal id are ordered by
 record and each gets one; an empty table gives no files and an empty index. A shard is read back as one value, so the
@@ -35,7 +35,7 @@ from tidemark.runtime import scratch_path, ship, small_batches
 SHARD_BYTES = 16 << 20  # of text; one shard is read as one value, so this bounds a task's memory. Raise it with that
 HEAD, PAYLOAD_HEAD = struct.Struct("<QI"), struct.Struct("<BqQ")
 MASK_DELTA = 0xA282EAD8
-INDEX = "shard int, record long, doc_id long, offset long, length long, n_ids long"
+INDEX = "shard int, record long, doc_id long, offset long, length long, n_ids long, ids_crc32 long"
 RECORDS = "shard int, record long, doc_id long, n_ids long, ids binary"
 
 
@@ -164,16 +164,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
-    """Read the record files, check them, and write their offset index."""
+    """Read the record files, check them, and write their offset index, with a checksum of each record's ids."""
     ship(spark)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [(shard, i, d, at, length, len(ids) // 2) for i, (at, length, d, ids) in enumerate(walk(memoryview(content.as_buffer())))]
-                columns = list(zip(*found, strict=True)) or [[]] * 6
-                kinds = [pa.int32(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "record", "doc_id", "offset", "length", "n_ids"])
+                found = [(shard, i, d, at, length, len(ids) // 2, wide_crc32(ids)) for i, (at, length, d, ids) in enumerate(walk(memoryview(content.as_buffer())))]
+                columns = list(zip(*found, strict=True)) or [[]] * 7
+                kinds = [pa.int32(), *[pa.int64()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "record", "doc_id", "offset", "length", "n_ids", "ids_crc32"])
 
     _files(spark, path).mapInArrow(scan, INDEX).write.parquet(index_path)
     return spark.read.schema(INDEX).parquet(index_path)
@@ -206,24 +206,12 @@ def wide_crc32(ids: bytes) -> int:
 
 
 def document_records(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """Contract rows, all read back from the files."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "records")
+    """Contract rows, all read back from the files: from the index that is made of them."""
+    path = scratch_path(docs.sparkSession, "records")
     write_records(docs, f"{path}/data", vocabulary)
-    index = build_index(spark, f"{path}/data", f"{path}/index")
+    index = build_index(docs.sparkSession, f"{path}/data", f"{path}/index")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
     totals = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row per shard
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                reached, found = 0, []
-                for _, _, d, ids in walk(memoryview(content.as_buffer())):
-                    found.append((shard, d, reached, len(ids) // 2, wide_crc32(ids)))
-                    reached += len(ids) // 2
-                columns = list(zip(*found, strict=True)) or [[]] * 5
-                kinds = [pa.int32(), *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
-
-    rows = _files(spark, f"{path}/data").mapInArrow(digest, "shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    return rows.join(before, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    bases = totals.select("shard", F.coalesce(F.sum("n").over(before.orderBy("shard")), F.lit(0)).alias("base"))  # one row per shard
+    local = index.withColumn("local", F.coalesce(F.sum("n_ids").over(before.partitionBy("shard").orderBy("record")), F.lit(0)))
+    return local.join(bases, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
