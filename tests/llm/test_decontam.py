@@ -169,3 +169,11 @@ def test_scripts_without_spaces(spark):
     got = find_leaks(docs(spark, rows), spark.createDataFrame([(1, han), (2, thai), (3, "\u4e00\u4e8c")], "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in got) == [(1, 1, 0), (2, 1, 2), (4, 2, 0), (5, 1, 0)]
     assert words_of("It's caf\u00e9 \uac00\ub098.") == ["it's", "caf\u00e9", "\uac00\ub098"]
+
+
+def test_bitmaps_grow_with_the_keys():
+    """A worker holds 114 tables: a few items do not take a full bitmap in each."""
+    rng = random.Random(13)
+    few = Items([(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(5 + i % 40))) for i in range(200)])
+    assert len(few.tables) == 114
+    assert sum(t[5].nbytes for t in few.tables) < 20_000_000

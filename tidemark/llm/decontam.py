@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.worker import release, trim
 from tidemark.runtime import ship
 
 SIMILARITY_EDITS = 0.2
@@ -46,7 +47,7 @@ SPARE = 4  # an item has so many words more than its windows' size, so that it h
 WALKS = 6
 #: Windows of at least so many words: tables of each walk, steps of a table, steps between two of those at least.
 SIZES = {5: (8, 3, 1), 8: (6, 4, 1), 12: (5, 4, 3)}
-TABLE_BITS = 20
+TABLE_BITS = 20  # of a table's bitmap at most; less for few keys, so that a worker does not hold 114 full ones
 PUNCTUATION = ".,!?;:\"|()[]"
 #: Scripts without spaces between words: Thai, Lao, Tibetan, Burmese, Khmer, kana, bopomofo, Han. And their punctuation.
 UNSPACED = re.compile(
@@ -54,7 +55,7 @@ UNSPACED = re.compile(
     "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])"
 )
 UNSPACED_MARKS = re.compile("[\u3000-\u3003\u3008-\u3020\u30a0\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
-BATCH_WORDS = 1 << 18
+BATCH_WORDS = 1 << 17
 SHIFT = 2  # words by which a walk may be out of step where it shares a key, besides the edits
 BLOCK = 4096  # places whose words are counted at once
 
@@ -115,8 +116,9 @@ class Items:
                 for sampled in own:
                     keys = key_of(outputs, sampled)
                     by = np.argsort(keys, kind="stable")
-                    bitmap = np.zeros(1 << TABLE_BITS, dtype=bool)
-                    bitmap[keys >> np.uint64(64 - TABLE_BITS)] = True
+                    bits = min(TABLE_BITS, 6 + len(keys).bit_length())
+                    bitmap = np.zeros(1 << bits, dtype=bool)
+                    bitmap[keys >> np.uint64(64 - bits)] = True
                     self.tables.append((walk, sampled, keys[by], places[by, 0], places[by, 1], bitmap))
 
     def walk(self, walk: int, flat: np.ndarray, starts: np.ndarray, tables: list[tuple[int, ...]]) -> dict[int, np.ndarray]:
@@ -142,7 +144,7 @@ class Items:
             outputs = self.walk(walk, flat, starts, [t[1] for t in own])
             for _, sampled, keys, items, offsets, bitmap in own:
                 mixed = key_of(outputs, sampled)
-                maybe = np.flatnonzero(bitmap[mixed >> np.uint64(64 - TABLE_BITS)])
+                maybe = np.flatnonzero(bitmap[mixed >> np.uint64(65 - len(bitmap).bit_length())])
                 low = np.searchsorted(keys, mixed[maybe], side="left")
                 count = np.searchsorted(keys, mixed[maybe], side="right") - low
                 hit = np.flatnonzero(count)
@@ -277,6 +279,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     def finder(items: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            trim()  # what the stages before left in this worker
             look = Items(items)
             if not look.ids:
                 return
